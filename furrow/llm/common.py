@@ -64,12 +64,14 @@ def row_key() -> list[Column]:
     return [F.col("doc_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_hash")]
 
 
-def same(a: DataFrame, b: DataFrame, *names: str) -> Column:
-    """Null-safe equality of the named columns."""
-    out = a[names[0]].eqNullSafe(b[names[0]])
-    for n in names[1:]:
-        out = out & a[n].eqNullSafe(b[n])
-    return out
+def joined(a: DataFrame, b: DataFrame, names: list[str], how: str = "inner") -> DataFrame:
+    """``a`` joined with ``b`` where the named columns are equal, null to null; one set of them is kept."""
+    right = b.withColumnsRenamed({n: f"_right_{n}" for n in names})
+    on = F.lit(True)
+    for i, n in enumerate(names):
+        eq = F.col(n).eqNullSafe(F.col(f"_right_{n}"))
+        on = on & eq if i else eq
+    return a.join(right, on, how).drop(*[f"_right_{n}" for n in names])
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, list[pa.RecordBatch]]]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from furrow.llm import simhash
+from furrow.llm import langid, mixing, packing, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,8 +14,15 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op4_simhash_near_dedup": simhash.query,
+        "op5_language_id": langid.query,
+        "op8_best_fit_packing": packing.query,
+        "op10_mix_sources": mixing.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_language_id": langid.query,
+        "op8_best_fit_packing": packing.query,
+        "op10_mix_sources": mixing.SQL,
+    }
