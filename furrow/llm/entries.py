@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from furrow.llm import langid, mixing, packing, pii, simhash
+from furrow.llm import langid, mixing, packing, pii, repeats, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_repeat_removal": repeats.query,
         "op2_pii": pii.query,
         "op4_simhash_near_dedup": simhash.query,
         "op5_language_id": langid.query,
