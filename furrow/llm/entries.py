@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from furrow.llm import langid, mixing, packing, pii, repeats, simhash
+from furrow.llm import langid, mixing, packing, pii, repeats, simhash, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,7 @@ def queries() -> dict[str, Query]:
         "op2_pii": pii.query,
         "op4_simhash_near_dedup": simhash.query,
         "op5_language_id": langid.query,
+        "op6_token_shards": tokens.query,
         "op8_best_fit_packing": packing.query,
         "op10_mix_sources": mixing.query,
     }
@@ -25,6 +26,7 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_language_id": langid.query,
+        "op6_token_shards": tokens.query,
         "op8_best_fit_packing": packing.query,
         "op10_mix_sources": mixing.SQL,
     }
