@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from furrow.llm import langid, mixing, packing, pii, repeats, simhash, tokens
+from furrow.llm import langid, mixing, packing, pages, pii, repeats, simhash, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,7 @@ def queries() -> dict[str, Query]:
         "op4_simhash_near_dedup": simhash.query,
         "op5_language_id": langid.query,
         "op6_token_shards": tokens.query,
+        "op7_page_text": pages.query,
         "op8_best_fit_packing": packing.query,
         "op10_mix_sources": mixing.query,
     }
@@ -27,6 +28,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op5_language_id": langid.query,
         "op6_token_shards": tokens.query,
+        "op7_page_text": pages.query,
         "op8_best_fit_packing": packing.query,
         "op10_mix_sources": mixing.SQL,
     }

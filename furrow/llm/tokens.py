@@ -9,7 +9,7 @@ sequence, and for each document where its part of the sequence begins: no rule c
 document is decoded on its own, and any id in it is found by expansion lengths.
 
 Files are the rows of a Parquet table (part, shard, first row, payload), so they live in any store that Spark
-writes to. Memory is bounded by a shard or, if longer, one document. Texts are split at white space, which the
+writes to. Memory is bounded by a shard or, if longer, one document. Texts are split at ASCII white space, which the
 tokenizer drops and never joins over, and each distinct word is encoded once in a task. Repeated rows are written
 as often as they occur. Other columns are ignored.
 """
@@ -36,7 +36,7 @@ _MAGIC = b"FRP1"
 
 
 class Encoder:
-    """Ids of texts, word by word; words are what lies between white space.
+    """Ids of texts, word by word; words are what lies between ASCII white space.
 
     Words of plain letters, with or without one full stop or comma at the end, are one or two pieces for the
     tokenizer; those that are new are encoded together and cut at the ids that end a piece. Any other new word
@@ -51,32 +51,33 @@ class Encoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.end = np.array([end], np.uint32).tobytes()
-        self.known: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
 
-    def _new(self, words: list[str]) -> dict[str, bytes]:
-        out: dict[str, bytes] = {}
-        plain: list[str] = []
+    def _new(self, words: list[bytes]) -> dict[bytes, bytes]:
+        out: dict[bytes, bytes] = {}
+        plain: list[bytes] = []
         pieces: list[int] = []
-        for w in words:
+        decoded = [w.decode() for w in words]
+        for raw, w in zip(words, decoded, strict=True):
             body = w[:-1] if w[-1] in ".," else w
             if body.isalpha() and max(body) < "\u0130":
-                plain.append(w)
+                plain.append(raw)
                 pieces.append(1 + (body is not w))
         if plain:
-            ids = np.array(self.tokenizer.encode(" ".join(plain), add_special_tokens=False).ids, np.uint32)
+            ids = np.array(self.tokenizer.encode(b" ".join(plain).decode(), add_special_tokens=False).ids, np.uint32)
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) == sum(pieces):
                 cuts = (4 * stops[np.cumsum(pieces) - 1]).tolist()
                 raw = ids.tobytes()
                 out = {w: raw[a:b] for w, a, b in zip(plain, [0, *cuts], cuts, strict=False)}
         rest = [w for w in words if w not in out]
-        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False), strict=True):
             out[w] = np.array(e.ids, np.uint32).tobytes()
         return out
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts with the end ids, and how many each text has."""
-        words = [t.split() for t in texts]
+        words = [t.encode().split() for t in texts]  # at ASCII white space
         known = self.known
         new = list({w for x in words for w in x if w not in known})
         if new:
