@@ -106,6 +106,13 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple
         yield key, held
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``rows``, so that what a task holds besides its input stays small."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def column(parts: list[pa.RecordBatch], name: str) -> np.ndarray:
     return np.concatenate([p.column(name).to_numpy(zero_copy_only=False) for p in parts])
 

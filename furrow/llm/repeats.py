@@ -10,8 +10,10 @@ sort, and only groups that are still together go on:
 2. Second digit: the whole run, to the end of its last window. Runs that occur twice are repeated as a whole and
    go on as one representative, however many copies there are.
 3. Last digit: the windows themselves, in groups of runs that share an anchor and differ. Groups of up to
-   ``GROUP`` distinct runs are sorted in memory by window; larger ones are dealt out window by window and
-   counted with partial aggregation, so no group lands in one task.
+   ``GROUP`` distinct runs are sorted in memory by window. Runs of larger groups are cut where the anchor's distance is
+   a multiple of ``PIECE``; what all windows of a piece have in common is a digit of its own, pieces that occur
+   twice are repeated as a whole, and only what still shares that digit and differs goes on window by
+   window. All of this is counted with partial aggregation, so no group lands in one task.
 
 The equal groups of the last pass are exactly the repeated windows. Digits are compared as 64-bit hashes, a window
 together with its anchor's (128 bits in all). Null texts count as empty; texts shorter than a window keep
@@ -29,12 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm.common import documents, dropped, emit, joined, partitions, released, written
+from furrow.llm.common import documents, dropped, emit, joined, partitions, released, sliced, written
 
 LENGTH = 200
 #: Bytes of the first digit.
 DIGIT = 32
-GROUP = 256
+GROUP, PIECE = 256, 8
 #: Bytes that are hashed at once; a position in them takes at most 20 bits.
 CHUNK = 1 << 18
 _PLACE = np.uint64((1 << 20) - 1)
@@ -106,7 +108,7 @@ def _bytes(b: pa.RecordBatch, name: str = "text") -> Iterator[np.ndarray]:
 
 def _scanner(length: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             got = [runs(d, length) for d in _bytes(b)]
             sizes = np.array([len(g[0]) for g in got])
             if not sizes.sum():
@@ -127,41 +129,64 @@ def _scanner(length: int):
     return scan
 
 
+OPENED = "digit long, core long, whole long, doc_id long, text_hash long, first long, last long, single boolean, bytes binary, large boolean"
+
+
+def _opened(columns: dict[str, list | np.ndarray]) -> pa.RecordBatch:
+    kinds = {"bytes": pa.binary(), "single": pa.bool_(), "large": pa.bool_()}
+    return emit({k: pa.array(v, kinds.get(k, pa.int64())) for k, v in columns.items()})
+
+
+def pieces(run: np.ndarray, length: int = LENGTH) -> list[tuple[int, int, int, int]]:
+    """(first, last, core, whole) of each piece of a run: suffixes that start from first to last in it, the hash of
+    what all windows at these distances from the anchor share, the hash of all bytes of the piece."""
+    p = prefix(run)
+    anchor, n = int(runs(run, length)[2][0]), len(run) - length
+    out = []
+    for c in range(max(0, anchor - n) // PIECE, anchor // PIECE + 1):
+        high = anchor - PIECE * c
+        a, z = max(0, high - PIECE + 1), min(n, high)
+        at = np.array([high, a])
+        core, whole = hashes(p, at, np.array([high - PIECE + 1 + length, z + length])).view(np.int64).tolist()
+        out.append((a, z, core, whole ^ (z - a) << 8 ^ (high - z)))
+    return out
+
+
 def _opener(length: int):
-    """Of documents with the runs to sort by window: runs of small groups with their bytes, and the single
-    windows of runs of large groups."""
+    """Of documents with the runs to sort by window: runs of small groups, and pieces of the runs of large ones."""
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
+            rows: dict[str, list] = {k.split()[0]: [] for k in OPENED.split(", ")}
             for data, todo, doc, text_hash in zip(_bytes(b), b.column("todo"), b.column("doc_id").to_pylist(), b.column("text_hash").to_pylist(), strict=True):
-                t = todo.values
-                digit, first, last = (t.field(k).to_numpy(zero_copy_only=False) for k in ("digit", "first", "last"))
-                single, large = (t.field(k).to_numpy(zero_copy_only=False).astype(bool) for k in ("single", "large"))
-                raw, parts = data.tobytes(), []
-                small = np.flatnonzero(~large)
-                parts.append((digit[small], np.zeros(len(small), np.int64), first[small], single[small], [raw[s : e + length] for s, e in zip(first[small].tolist(), last[small].tolist(), strict=True)]))
-                for i in np.flatnonzero(large):
-                    p = prefix(data[first[i] : last[i] + length])
-                    s = np.arange(last[i] - first[i] + 1)
-                    n = len(s)
-                    parts.append((np.full(n, digit[i]), hashes(p, s, s + length).view(np.int64), first[i] + s, np.full(n, single[i]), [None] * n))
-                n = sum(len(x[0]) for x in parts)
-                if n:
-                    yield emit(
-                        {
-                            "digit": pa.array(np.concatenate([x[0] for x in parts])),
-                            "window": pa.array(np.concatenate([x[1] for x in parts])),
-                            "doc_id": pa.array([doc] * n, pa.int64()),
-                            "text_hash": pa.array([text_hash] * n, pa.int64()),
-                            "first": pa.array(np.concatenate([x[2] for x in parts])),
-                            "single": pa.array(np.concatenate([x[3] for x in parts])),
-                            "bytes": pa.array([y for x in parts for y in x[4]], pa.binary()),
-                        }
-                    )
+                raw = data.tobytes()
+                for r in todo.as_py():
+                    s, e = r["first"], r["last"]
+                    for a, z, core, whole in pieces(data[s : e + length], length) if r["large"] else [(0, e - s, 0, 0)]:
+                        for k, v in zip(rows, (r["digit"], core, whole, doc, text_hash, s + a, s + z, r["single"], raw[s + a : s + z + length], r["large"]), strict=True):
+                            rows[k].append(v)
+            yield _opened(rows)
 
     return opened
 
 
+def _windows(length: int):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            texts = b.column("bytes").to_pylist()
+            sizes = np.array([len(t) for t in texts])
+            p = prefix(np.frombuffer(b"".join(texts), np.uint8))
+            count = sizes - length + 1
+            row = np.repeat(np.arange(len(texts)), count)
+            offset = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            start = np.repeat(np.cumsum(sizes) - sizes, count) + offset
+            i = pa.array(row)
+            rest = {k: b.column(k).take(i) for k in ("digit", "doc_id", "text_hash", "single")}
+            yield emit(rest | {"window": pa.array(hashes(p, start, start + length).view(np.int64)), "first": pa.array(b.column("first").to_numpy()[row] + offset)})
+
+    return cut
+
+
 def _repeated(digit: np.ndarray, texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For whole groups of runs, sorted by digit: the run and the offset in it of each repeated window."""
     sizes = np.array([len(t) for t in texts])
@@ -248,26 +273,35 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, group: int = GROUP) ->
     released(spark)
     # Rows repeated as a whole have no single runs; one of them opens what others need to see.
     texts = joined(docs, todo, ["doc_id", "text_hash"])
-    parts = written(texts.mapInArrow(_opener(length), "digit long, window long, doc_id long, text_hash long, first long, single boolean, bytes binary"), "windows")
+    parts = written(texts.mapInArrow(_opener(length), OPENED), "opened")
     dropped(todo)
     released(spark)
+    place = ["doc_id", "text_hash", "first", "last"]
     n = partitions(spark)
-    small = parts.where("bytes is not null").repartition(n, "digit").sortWithinPartitions("digit")
+    small = parts.where("not large").select("digit", *place, "single", "bytes").repartition(n, "digit").sortWithinPartitions("digit")
     small = small.mapInArrow(_sorter(length), "doc_id long, text_hash long, first long, last long")
-    large = parts.where("bytes is null").drop("bytes")
-    twice = large.groupBy("digit", "window").agg(F.count(F.lit(1)).alias("n"))
-    twice = twice.where("n > 1").select(F.col("digit").alias("d"), F.col("window").alias("w"))
-    large = large.where("single").join(twice, (F.col("digit") == F.col("d")) & (F.col("window") == F.col("w")), "left_semi")
-    large = large.select("doc_id", "text_hash", "first", F.col("first").alias("last"))
-    out = written(full.unionByName(small).unionByName(large), "repeated")
-    dropped(parts, full)
+    large = parts.where("large").drop("large")
+    kinds = large.groupBy("digit", "core", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*place, "single", "bytes")).alias("at"))
+    kinds = written(kinds, "pieces")
+    twice = kinds.where("n > 1").select(F.col("digit").alias("d"), F.col("core").alias("c"), F.col("whole").alias("w"))
+    on = (F.col("digit") == F.col("d")) & (F.col("core") == F.col("c"))
+    again = large.where("single").join(twice, on & (F.col("whole") == F.col("w")), "left_semi").select(*place)
+    open_ = kinds.groupBy("digit", "core").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1")
+    open_ = open_.select(F.col("digit").alias("d"), F.col("core").alias("c"))
+    last = kinds.join(open_, on, "left_semi").select("digit", "at.doc_id", "at.text_hash", "at.first", (F.col("at.single") & (F.col("n") == 1)).alias("single"), "at.bytes")
+    last = written(last.mapInArrow(_windows(length), "digit long, doc_id long, text_hash long, single boolean, window long, first long"), "windows")
+    shared = last.groupBy("digit", "window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digit").alias("d"), F.col("window").alias("w"))
+    final = last.where("single").join(shared, (F.col("digit") == F.col("d")) & (F.col("window") == F.col("w")), "left_semi")
+    final = final.select("doc_id", "text_hash", "first", F.col("first").alias("last"))
+    out = written(full.unionByName(small).unionByName(again).unionByName(final), "repeated")
+    dropped(parts, full, kinds, last)
     released(spark)
     return out
 
 
 def _cutter(length: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             spans, kept, total = [], [], []
             for data, run in zip(_bytes(b), b.column("runs"), strict=True):
                 own: list[tuple[int, int]] = []
