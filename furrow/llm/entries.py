@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from furrow.llm import langid, mixing, packing, pages, pii, repeats, simhash, tokens
+from furrow.llm import embeddings, langid, mixing, packing, pages, pii, repeats, simhash, tokens, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,11 +15,13 @@ def queries() -> dict[str, Query]:
     return {
         "op1_repeat_removal": repeats.query,
         "op2_pii": pii.query,
+        "op3_embedding_near_dedup": embeddings.query,
         "op4_simhash_near_dedup": simhash.query,
         "op5_language_id": langid.query,
         "op6_token_shards": tokens.query,
         "op7_page_text": pages.query,
         "op8_best_fit_packing": packing.query,
+        "op9_top_k_search": topk.query,
         "op10_mix_sources": mixing.query,
     }
 
@@ -30,5 +32,7 @@ def oracle_sql() -> dict[str, str]:
         "op6_token_shards": tokens.query,
         "op7_page_text": pages.query,
         "op8_best_fit_packing": packing.query,
+        "op3_embedding_near_dedup": embeddings.SQL,
+        "op9_top_k_search": topk.SQL,
         "op10_mix_sources": mixing.SQL,
     }
