@@ -247,7 +247,7 @@ def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", column: str =
     if got["n"] and (got["hit"] or 0) < got["n"]:
         roots = written(components(found.unionByName(truth)), "roots")
     members = nodes.join(roots, "node").select("root", "node", "vector", "copies")
-    counts = link_counts(members)
+    counts = link_counts(members, BLOCK)
     named = nodes.join(roots, "node").groupBy("root").agg(F.min("low").alias("component_id"))
     own = nodes.select("node", "vector", "copies", "low").join(roots, "node", "left").join(named, "root", "left").join(counts, "node", "left")
     own = own.select("vector", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "low").alias("component_id"))

@@ -57,12 +57,14 @@ def fingerprint(text: str | None) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         fp = np.array([fingerprint(t) for t in b.column("text").to_pylist()], np.uint64)
-        yield emit({"doc_id": b.column("doc_id"), "fp": pa.array(fp.view(np.int64))})
+        yield emit({"doc_id": b.column("doc_id"), "text_hash": b.column("text_hash"), "fp": pa.array(fp.view(np.int64))})
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of every row; fp is the fingerprint as a signed long."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    """(doc_id, text_hash, fp) of every row; fp is the fingerprint as a signed long."""
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), text.alias("text"))
+    return rows.mapInArrow(_fingerprints, "doc_id long, text_hash long, fp long")
 
 
 def linked(fps: np.ndarray, segment: int, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
@@ -142,15 +144,15 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id) of every row of ``docs``; component_id is the smallest doc_id of all
-    documents that links reach."""
+    """(doc_id, text_hash, fp, root, component_id) of every row of ``docs``; component_id is the smallest doc_id of
+    all documents that links reach, root a fingerprint that names the component."""
     prints = written(fingerprints(docs), "fingerprints")
     first = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
     found = components(links(first.select("fp")))
     rooted = first.join(found, first["fp"] == found["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = rooted.join(least, "root").select(F.col("fp").alias("of"), "component_id")
-    return prints.join(named, prints["fp"] == named["of"]).select("doc_id", "fp", "component_id")
+    named = rooted.join(least, "root").select(F.col("fp").alias("of"), "root", "component_id")
+    return prints.join(named, prints["fp"] == named["of"]).select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
