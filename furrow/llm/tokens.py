@@ -16,6 +16,8 @@ as often as they occur. Other columns are ignored.
 
 from __future__ import annotations
 
+import json
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -29,66 +31,85 @@ from furrow.llm.common import documents, emit, partitions, written
 
 TOKENIZER = "word_bpe_49k.json"
 END = 2
-SHARD, PAIRS, ROUNDS, LEAST = 1_000_000, 4096, 4, 16
+SHARD, PAIRS, ROUNDS, LEAST = 500_000, 4096, 3, 16
 #: Distinct words that a process keeps the ids of, about.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 600_000
 _MAGIC = b"FRP1"
 
 
+def _letters(w: str) -> bool:
+    return w.isalpha() and (w.isascii() or max(w) < "\u0130")
+
+
 class Encoder:
     """Ids of texts, word by word; words are what lies between ASCII white space.
 
-    Words of plain letters, with or without one full stop or comma at the end, are one or two pieces for the
-    tokenizer; those that are new are encoded together and cut at the ids that end a piece. Any other new word
-    is encoded by itself.
+    The tokenizer lower-cases, and takes letters and what isn't letters or digits as separate pieces; so A-Z are lowered
+    first (but in texts that might hold a special token's string), and plain letters with a full stop or comma
+    behind them have the ids of both. New words of plain letters are encoded together, by the same model without
+    the steps that find and normalise pieces, and cut at the ids that end a piece. Any other new word goes through
+    the whole tokenizer by itself.
     """
 
     def __init__(self, path: str, end: int = END):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        parts = json.loads(self.tokenizer.to_str())
+        spaces = {"type": "WhitespaceSplit"}
+        level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        parts |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [spaces, level]}}
+        self.pieces = Tokenizer.from_str(json.dumps(parts))
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.end = np.array([end], np.uint32).tobytes()
         self.known: dict[bytes, bytes] = {}
+        self.points = {p: self._whole([p])[p] for p in (b".", b",")}
+
+    def _whole(self, words: list[bytes]) -> dict[bytes, bytes]:
+        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        return {w: np.array(e.ids, np.uint32).tobytes() for w, e in zip(words, found, strict=True)}
+
+    def _plain(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of the words that are plain letters."""
+        decoded = b" ".join(words).decode().split(" ") if words else []
+        both = [(raw, w) for raw, w in zip(words, decoded, strict=True) if _letters(w)]
+        found = self.pieces.encode_batch_fast([" ".join([w for _, w in both]).lower()], add_special_tokens=False)[0]
+        ids = np.array(found.ids, np.uint32)
+        stops = np.flatnonzero(self.ends[ids]) + 1 if len(ids) else []
+        if len(stops) != len(both):
+            return {}
+        cuts, raw = [4 * x for x in stops], ids.tobytes()
+        return {w: raw[a:b] for (w, _), a, b in zip(both, [0, *cuts], cuts, strict=False)}
 
     def _new(self, words: list[bytes]) -> dict[bytes, bytes]:
-        out: dict[bytes, bytes] = {}
-        plain: list[bytes] = []
-        pieces: list[int] = []
-        decoded = [w.decode() for w in words]
-        for raw, w in zip(words, decoded, strict=True):
-            body = w[:-1] if w[-1] in ".," else w
-            if body.isalpha() and max(body) < "\u0130":
-                plain.append(raw)
-                pieces.append(1 + (body is not w))
-        if plain:
-            ids = np.array(self.tokenizer.encode(b" ".join(plain).decode(), add_special_tokens=False).ids, np.uint32)
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == sum(pieces):
-                cuts = (4 * stops[np.cumsum(pieces) - 1]).tolist()
-                raw = ids.tobytes()
-                out = {w: raw[a:b] for w, a, b in zip(plain, [0, *cuts], cuts, strict=False)}
-        rest = [w for w in words if w not in out]
-        for w, e in zip(rest, self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False), strict=True):
-            out[w] = np.array(e.ids, np.uint32).tobytes()
-        return out
+        known, points = self.known, self.points
+        pointed = [w for w in words if w[-1] in b".," and _letters(w[:-1].decode())]
+        bodies = {w[:-1] for w in pointed}
+        fresh = self._plain(list(bodies.union(words).difference(known, pointed)))
+        for w in pointed:
+            body = w[:-1]
+            ids = fresh.get(body) or known.get(body)
+            if ids:
+                fresh[w] = ids + points[w[-1:]]
+        return fresh | self._whole([w for w in words if w not in fresh])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts with the end ids, and how many each text has."""
-        words = [t.encode().split() for t in texts]  # at ASCII white space
-        known = self.known
-        new = list({w for x in words for w in x if w not in known})
-        if new:
-            got = {}
-            for i in range(0, len(new), 20_000):
-                got |= self._new(new[i : i + 20_000])
+        words = [(t if b"<|" in t else t.lower()).split() for t in (x.encode() for x in texts)]
+        known, added = self.known, []
+        new = list(set().union(*words).difference(known))
+        for i in range(0, len(new), 10_000):
+            got = self._new([w for w in new[i : i + 10_000] if w not in known])
             known |= got
-        parts = [b"".join([known[w] for w in x]) + self.end for x in words]
+            added.append(got)
+        parts = [b"".join(map(known.__getitem__, x)) + self.end for x in words]
         if len(known) > KEPT_WORDS:
-            for w in new:
-                del known[w]
+            for got in added:
+                for w in got:
+                    known.pop(w, None)
         return np.frombuffer(b"".join(parts), np.uint32), np.array([len(g) // 4 for g in parts], np.int64)
 
 
@@ -118,23 +139,25 @@ def repair(ids: np.ndarray, starts: np.ndarray, end: int = END, pairs: int = PAI
     for _ in range(rounds):
         if len(seq) < 2:
             break
-        key = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        slot = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int32)
-        ok = ~fence[:-1]
-        count = np.bincount(slot[ok], minlength=1 << bits)
+        left, right = seq[:-1], seq[1:]
+        slot = (left * np.uint32(0x9E3779B1) ^ right * np.uint32(0x85EBCA77)) >> np.uint32(32 - bits)
+        slot[fence[:-1]] = 1 << bits
+        count = np.bincount(slot, minlength=(1 << bits) + 1)[:-1]
         often = np.flatnonzero(count >= least)
         if len(often) > pairs:
             often = often[np.argpartition(count[often], len(often) - pairs)[-pairs:]]
         if not len(often):
             break
         # A slot stands for the pair that is met first in it; others that share the slot wait.
-        rank = np.full(1 << bits, -1, np.int32)
+        rank = np.full((1 << bits) + 1, -1, np.int32)
         rank[often] = np.arange(len(often))
-        at = np.flatnonzero((rank[slot] >= 0) & ok)
-        r = rank[slot[at]]
-        pair = np.zeros(len(often), np.uint64)
-        pair[r[::-1]] = key[at[::-1]]
-        at = at[key[at] == pair[r]]
+        r = rank[slot]
+        at = np.flatnonzero(r >= 0)
+        r = r[at]
+        first_at = np.zeros(len(often), np.int64)
+        first_at[r[::-1]] = at[::-1]
+        pair = seq[first_at], seq[first_at + 1]
+        at = at[(left[at] == pair[0][r]) & (right[at] == pair[1][r])]
         # Of overlapping places, every second one from the left of each stretch.
         stretch = np.flatnonzero(np.append(True, at[1:] != at[:-1] + 1))
         odd = (np.arange(len(at)) - np.repeat(stretch, np.diff(np.append(stretch, len(at))))) & 1
@@ -146,14 +169,14 @@ def repair(ids: np.ndarray, starts: np.ndarray, end: int = END, pairs: int = PAI
         at, r = at[worth[r]], r[worth[r]]
         if not len(at):
             break
-        new = pair[worth]
+        new = np.stack([pair[0][worth], pair[1][worth]], 1)
         seq = seq.copy()
         seq[at] = base + len(rules) + number[r]
         fence[at] = fence[at + 1]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq, fence, first = seq[keep], fence[keep], first[keep]
-        rules = np.concatenate([rules, np.stack([(new >> np.uint64(32)).astype(np.uint32), (new & np.uint64(0xFFFFFFFF)).astype(np.uint32)], 1)])
+        rules = np.concatenate([rules, new])
     return rules, seq, np.flatnonzero(first)
 
 
@@ -299,7 +322,7 @@ def write_shards(docs: DataFrame, tokenizer: str, shard: int = SHARD) -> DataFra
     """Writes ``docs`` (doc_id, text) as shard files in ascending doc_id; returns the table of files."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n = partitions(docs.sparkSession)
-    dealt = rows.repartitionByRange(n, "doc_id", "text").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
+    dealt = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
     files = dealt.mapInArrow(_writer(tokenizer, shard), "part int, shard int, n_ids long, doc_ids array<long>, payload binary")
     return written(files, "shards")
 
