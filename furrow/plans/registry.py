@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -10,11 +11,33 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
+_MODULES = ("observations", "time_series", "images", "modelling", "scenes")
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a function of (spark, sf_dir) under ``name``, with the SQL that gives the same rows."""
+
+    def add(f: Query) -> Query:
+        if name in _QUERIES:
+            raise ValueError(f"two queries are called {name}")
+        _QUERIES[name] = f
+        if sql is not None:
+            _SQL[name] = sql
+        return f
+
+    return add
+
+
+def _load() -> None:
+    for m in _MODULES:
+        import_module(f"furrow.plans.{m}")
 
 
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
