@@ -126,9 +126,9 @@ def potential(df: DataFrame, p: Parameters) -> DataFrame:
         return df.withColumn("zone", F.lit(0)).withColumn("mask2", F.col("mask"))
     df = raster.shadow_zone(df, corner_angles(df), min(p.longest, *size), p.shortest)
     two = F.when((F.col("zone") == 1) & (F.col("mask") == 1), 0).when((F.col("zone") == 99) & (F.col("mask") == 1), 99).otherwise(F.col("mask"))
-    df = df.withColumnRenamed("mask", "one").withColumn("mask", two)
+    df = df.withColumns({"one": F.col("mask"), "mask": two})
     df = raster.shadow_buffer(df, 5, 1, 0)
-    return cut(df.withColumnRenamed("mask", "mask2").withColumnRenamed("one", "mask"))
+    return cut(df.withColumnsRenamed({"mask": "mask2", "one": "mask"}))
 
 
 def with_shadow_index(df: DataFrame, p: Parameters) -> DataFrame:

@@ -61,13 +61,29 @@ def sampled(models: Sequence[dict], n: int, seed: int = 0) -> list[dict]:
     return random.Random(seed).sample(ordered, min(n, len(ordered)))
 
 
-def biomass_error(models: Sequence[dict], spread: float = SPREAD) -> Column:
-    """Standard error: the sample standard deviation of the models' predictions, plus ``spread``."""
-    p = F.array(*[linear(m) for m in models])
-    n = len(models)
-    mean = F.aggregate(p, F.lit(0.0), lambda s, x: s + x) / n
-    total = F.aggregate(p, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean))
-    return finite(F.sqrt(total / (n - 1)) + spread) if n > 1 else F.lit(None).cast("double")
+def biomass_error(models: Sequence[dict], spread: float = SPREAD, given: Mapping[str, Column] | None = None) -> Column:
+    """Standard error: the sample standard deviation of the models' predictions, plus ``spread``.
+
+    Give features as columns where there are many models: each is then computed once a row. One pass over the predictions
+    keeps count, mean and squares, as Welford does."""
+    p = F.array(*[linear(m, given) for m in models])
+    if len(models) < 2:
+        return F.lit(None).cast("double")
+
+    def add(s: Column, x: Column) -> Column:
+        n = s["n"] + 1
+        mean = s["mean"] + (x - s["mean"]) / n
+        return F.struct(n.alias("n"), mean.alias("mean"), (s["sq"] + (x - s["mean"]) * (x - mean)).alias("sq"))
+
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("sq"))
+    sd = F.aggregate(p, start, add, lambda s: F.sqrt(s["sq"] / (s["n"] - 1)))
+    return finite(sd + spread)
+
+
+def with_features(df: DataFrame, models: Sequence[dict]) -> tuple[DataFrame, dict[str, Column]]:
+    """``df`` with the models' features as columns, and those columns by name."""
+    names = sorted({n for m in models for n in m["coef"]})
+    return df.withColumns({f"_f_{n}": feature(n) for n in names}), {n: F.col(f"_f_{n}") for n in names}
 
 
 def below(biomass_column: Column, error: Column, threshold: float) -> Column:
@@ -85,7 +101,3 @@ def cover(models: Mapping[str, Mapping]) -> dict[str, Column]:
             raise ValueError(f"the model of {name} has other features than the cover model")
         out[name] = clipped(linear(models[name]))
     return out
-
-
-def scored(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
-    return df.withColumns(dict(columns))

@@ -138,12 +138,22 @@ def adaptive(v: np.ndarray, despike: bool = True, depth: float | None = None, da
     return twice(v, False, second=DENSE_WINDOW, limit=LIMIT)
 
 
+def observed(v: np.ndarray, window: int, degree: int) -> np.ndarray:
+    """Smooths the observations of a series where they are; series with fewer than the window stay as they are."""
+    ok = np.flatnonzero(~np.isnan(v))
+    if len(ok) < window:
+        return v
+    out = v.copy()
+    out[ok] = irregular(ok.astype(float), v[ok], window, degree)
+    return out
+
+
 def smoothed(df: DataFrame, how: str = "twice", value: str = "v", key: str = "pix", **options: object) -> DataFrame:
-    """(key, t_idx, smooth) of every day; how: uniform, twice or adaptive, with that function's options."""
-    kinds = {"twice": twice, "adaptive": adaptive, "uniform": lambda v, window, degree: uniform(v[None], window, degree)[0] if window <= len(v) else np.full(len(v), np.nan)}
+    """(key, t_idx, smooth) of every day; how: uniform, observed, twice or adaptive, with that function's options."""
+    kinds = {"twice": twice, "adaptive": adaptive, "observed": observed, "uniform": lambda v, window, degree: uniform(v[None], window, degree)[0] if window <= len(v) else np.full(len(v), np.nan)}
     if how not in kinds:
         raise ValueError(f"how is one of {', '.join(kinds)}")
-    if how == "uniform":
+    if how in ("uniform", "observed"):
         check_window(int(options["window"]), options["window"], options["degree"])
     f = kinds[how]
     arrays = as_arrays(df, [value], key)

@@ -6,16 +6,19 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from furrow.operators.lineage import cut
+
 
 def every_nth(df: DataFrame, order: list[Column | str], most: int = 5000) -> DataFrame:
     """``most`` rows at equal steps through the order, all if there are fewer.
 
-    Row numbers come from counts by range partition and one window a partition, so no task holds all rows."""
+    Row numbers come from counts by range partition and one window a partition, so no task holds all rows. The ranges
+    come from a sample of the rows, so they are drawn once and kept."""
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
     w = Window.partitionBy("_part").orderBy(*order)
-    dealt = dealt.withColumn("_nth", F.row_number().over(w) - 1)
+    dealt = cut(dealt.withColumn("_nth", F.row_number().over(w) - 1))
     sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     upto = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     base = sizes.select("_part", (F.sum("_n").over(upto) - F.col("_n")).alias("_base"), F.sum("_n").over(Window.partitionBy(F.lit(1))).alias("_all"))

@@ -61,12 +61,16 @@ INDEX_SQL = {
 }
 
 
+#: Places to round to: weights and scales of four places make exact halves at the sixth.
+PLACES = {n: 9 if n in ("SAVI", *TASSELLED) else 6 for n in INDEX_SQL}
+
+
 def _one(name: str) -> None:
     f = INDICES[name]
 
-    @query(f"idx_{name.lower()}", f"{WITH} SELECT y, x, t, sensor, round({INDEX_SQL[name]}, 9) AS value FROM obs")
+    @query(f"idx_{name.lower()}", f"{WITH} SELECT y, x, t, sensor, round({INDEX_SQL[name]}, {PLACES[name]}) AS value FROM obs")
     def run(spark, d):
-        return obs(spark, d).select("y", "x", "t", "sensor", F.round(f(), 9).alias("value"))
+        return obs(spark, d).select("y", "x", "t", "sensor", F.round(f(), PLACES[name]).alias("value"))
 
 
 def _band(name: str) -> None:
@@ -81,9 +85,9 @@ for _n in BANDS:
     _band(_n)
 
 
-@query("indices_all", f"{WITH} SELECT y, x, t, sensor, " + ", ".join(f"round({e}, 9) AS {n}" for n, e in INDEX_SQL.items()) + " FROM obs")
+@query("indices_all", f"{WITH} SELECT y, x, t, sensor, " + ", ".join(f"round({e}, {PLACES[n]}) AS {n}" for n, e in INDEX_SQL.items()) + " FROM obs")
 def indices_all(spark, d):
-    return obs(spark, d).select("y", "x", "t", "sensor", *[F.round(f(), 9).alias(n) for n, f in INDICES.items()])
+    return obs(spark, d).select("y", "x", "t", "sensor", *[F.round(f(), PLACES[n]).alias(n) for n, f in INDICES.items()])
 
 
 def _bit(b: int) -> str:
