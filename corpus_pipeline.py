@@ -25,11 +25,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group: the smallest doc_id (null last), then the smallest hash of the text, and of
     rows that agree in both the first by the other columns."""
-    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
-    kept = simhash.near_duplicates(docs).groupBy("root").agg(F.min(order).alias("of")).select("of.doc_id", "of.text_hash")
+    named = [F.col("doc_id").isNull().alias("unnamed"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("text_hash")]
+    kept = simhash.near_duplicates(docs).select("root", F.struct(*named).alias("of")).groupBy("root").agg(F.min("of").alias("of")).select("of.*")
     keyed = docs.select(*COLUMNS, F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
-    rows = joined(keyed, kept, ["doc_id", "text_hash"], "left_semi")
-    return rows.groupBy("doc_id", "text_hash").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
+    keyed = keyed.select(*COLUMNS, *named)
+    # The join and the choice among repeated rows share one exchange of the texts.
+    keys = ["unnamed", "id", "text_hash"]
+    rows = keyed.join(kept, keys, "left_semi")
+    return rows.groupBy(*keys).agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
