@@ -8,7 +8,7 @@ from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThanOrEqual, InputPartition, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "sensor string, item_id string, datetime timestamp, min_x double, min_y double, max_x double, max_y double, assets map<string, string>"
 PAGE = 100
@@ -23,24 +23,18 @@ class Part(InputPartition):
 
 
 class Reader(DataSourceReader):
-    """Reads JSON files of items, one partition a sensor; sensor, earliest and latest time are pushed down."""
+    """Reads JSON files of items, one partition a sensor; the options sensor, since, until and bbox say what to read.
+
+    They are options and not pushed filters, as a reader that keeps filters keeps them for later queries on the same frame."""
 
     def __init__(self, options: dict):
+        from datetime import datetime, timezone
+
         self.path = options.get("path", "")
         self.box = [float(x) for x in options["bbox"].split(",")] if options.get("bbox") else None
-        self.sensors = list(COLLECTIONS)
-        self.since = self.until = None
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("sensor",):
-                self.sensors = [s for s in self.sensors if s == f.value]
-            elif isinstance(f, GreaterThanOrEqual) and f.attribute == ("datetime",):
-                self.since = max(filter(None, [self.since, f.value]))
-            elif isinstance(f, LessThanOrEqual) and f.attribute == ("datetime",):
-                self.until = min(filter(None, [self.until, f.value]))
-            else:
-                yield f
+        self.sensors = [s for s in COLLECTIONS if options.get("sensor", s) == s]
+        at = lambda k: datetime.fromisoformat(options[k]).replace(tzinfo=timezone.utc) if options.get(k) else None
+        self.since, self.until = at("since"), at("until")
 
     def partitions(self) -> Sequence[InputPartition]:
         return [Part(s, f"{self.path}/{s}.json") for s in self.sensors]
@@ -57,7 +51,7 @@ class Reader(DataSourceReader):
             at = datetime.fromisoformat(i["properties"]["datetime"].replace("Z", "+00:00")).astimezone(timezone.utc)
             plain = at.replace(tzinfo=None)
             box = i.get("bbox") or [None] * 4
-            if self.since and at.timestamp() < self.since.timestamp() or self.until and at.timestamp() > self.until.timestamp():
+            if self.since and at < self.since or self.until and at > self.until:
                 continue
             if self.box and box[0] is not None and (box[0] > self.box[2] or box[2] < self.box[0] or box[1] > self.box[3] or box[3] < self.box[1]):
                 continue
@@ -65,7 +59,7 @@ class Reader(DataSourceReader):
 
 
 class SceneCatalog(DataSource):
-    """spark.read.format("scene_catalog").option("bbox", "minx,miny,maxx,maxy").load(folder of S30.json and L30.json)"""
+    """spark.read.format("scene_catalog").option("bbox", "minx,miny,maxx,maxy").option("since", "2024-01-01").load(folder of S30.json and L30.json)"""
 
     @classmethod
     def name(cls) -> str:
@@ -79,6 +73,7 @@ class SceneCatalog(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Makes the format known to the session."""
     spark.dataSource.register(SceneCatalog)
 
 
