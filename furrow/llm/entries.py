@@ -28,10 +28,6 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op5_language_id": langid.query,
-        "op6_token_shards": tokens.query,
-        "op7_page_text": pages.query,
-        "op8_best_fit_packing": packing.query,
         "op3_embedding_near_dedup": embeddings.SQL,
         "op9_top_k_search": topk.SQL,
         "op10_mix_sources": mixing.SQL,

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from furrow.llm.common import documents, emit
+from furrow.llm.common import documents, emit, sliced, small_batches
 
 SAMPLE, DICTIONARY, PIECE, LEVEL = 48, 110_000, 1024, 6
 SCALE, MARGIN = 8.0, 0.005
@@ -89,7 +89,7 @@ class Classifier:
 def _predictor(model: dict[str, bytes]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = Classifier(model)
-        for b in batches:
+        for b in sliced(batches):
             got = [c.predict(t) for t in b.column("text").to_pylist()]
             lang, score, margin = zip(*got, strict=True) if got else ((), (), ())
             rest = {n: b.column(n) for n in b.schema.names}
@@ -100,6 +100,7 @@ def _predictor(model: dict[str, bytes]):
 
 def identified(docs: DataFrame, model: dict[str, bytes], keep: list[str]) -> DataFrame:
     """The columns ``keep`` of ``docs`` (text among them or not), with lang_pred, score, margin and accepted."""
+    small_batches(docs.sparkSession)
     rows = docs.select(*keep, *([] if "text" in keep else [F.col("text").cast("string").alias("text")]))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "lang_pred string, score double, margin double"])
     out = rows.mapInArrow(_predictor(model), schema).withColumn("accepted", F.col("margin") >= MARGIN)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm.common import emit
+from furrow.llm.common import emit, small_batches
 
 PAGES, STEPS = 400, 120
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -367,6 +367,7 @@ def _extractor(field: Field):
 
 def extracted(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of ``pages``."""
+    small_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return rows.mapInArrow(_extractor(trained()), "page_id long, url string, text string, n_chars long")
 

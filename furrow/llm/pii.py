@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm.common import documents, emit, joined, written
+from furrow.llm.common import documents, emit, joined, sliced, small_batches, written
 
 KINDS = ("email", "ip", "card", "phone")
 SUPPORT, CONFIDENT, ROUNDS, WORDS = 5, 0.8, 3, 2
@@ -118,7 +118,7 @@ def occurrences(text: str | None, base: list[tuple[str, int, int]]) -> list[tupl
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     item = pa.struct([("pattern", pa.string()), ("instance", pa.string()), ("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
-    for b in batches:
+    for b in sliced(batches):
         base, seen = [], []
         for t in b.column("text").to_pylist():
             base.append(base_spans(t))
@@ -142,6 +142,7 @@ SCANNED = (
 
 def scanned(docs: DataFrame) -> DataFrame:
     """Base spans and occurrences of every row, written to the shared folder."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.col("text").cast("string").alias("text"))
     return written(rows.mapInArrow(_scan, SCANNED), "pii")
 
@@ -193,7 +194,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _masker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in sliced(batches):
         out = []
         for t, spans in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True):
             if t and spans:

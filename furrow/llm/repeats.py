@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm.common import documents, dropped, emit, joined, partitions, released, sliced, written
+from furrow.llm.common import documents, dropped, emit, joined, partitions, released, sliced, small_batches, written
 
 LENGTH = 200
 #: Bytes of the first digit.
@@ -335,6 +335,7 @@ def _cutter(length: int):
 
 
 def keyed(docs: DataFrame) -> DataFrame:
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.col("text").cast("string").cast("binary").alias("text"))
 
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm.common import column, components, documents, emit, groups, partitions, written
+from furrow.llm.common import column, components, documents, emit, groups, partitions, sliced, small_batches, written
 
 WORDS, SEED, DISTANCE = 4, 42, 4
 #: Widths of the segments, from the lowest bit.
@@ -55,13 +55,14 @@ def fingerprint(text: str | None) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in sliced(batches):
         fp = np.array([fingerprint(t) for t in b.column("text").to_pylist()], np.uint64)
         yield emit({"doc_id": b.column("doc_id"), "text_hash": b.column("text_hash"), "fp": pa.array(fp.view(np.int64))})
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, fp) of every row; fp is the fingerprint as a signed long."""
+    small_batches(docs.sparkSession)
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), text.alias("text"))
     return rows.mapInArrow(_fingerprints, "doc_id long, text_hash long, fp long")
@@ -71,7 +72,7 @@ def linked(fps: np.ndarray, segment: int, distance: int = DISTANCE) -> tuple[np.
     """Edges (as stars) between distinct fingerprints that agree in ``segment``; fps unsigned."""
     n, ring = len(fps), len(SEGMENTS)
     out_a, out_b = [], []
-    step = max(1, min(n, 4_000_000 // n))
+    step = max(1, min(n, 1_000_000 // n))
     for i in range(0, n, step):
         x = fps[i : i + step, None] ^ fps[None, i:]
         at_a, at_b = np.nonzero(np.bitwise_count(x & _MASK[(segment + 1) % ring]) <= 2 * distance // ring)
@@ -148,7 +149,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     all documents that links reach, root a fingerprint that names the component."""
     prints = written(fingerprints(docs), "fingerprints")
     first = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    found = components(links(first.select("fp")))
+    # Written, so that no task runs two Python functions at a time.
+    found = components(written(links(first.select("fp")), "links"))
     rooted = first.join(found, first["fp"] == found["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     named = rooted.join(least, "root").select(F.col("fp").alias("of"), "root", "component_id")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm.common import documents, emit, partitions, written
+from furrow.llm.common import documents, emit, partitions, small_batches, written
 
 TOKENIZER = "word_bpe_49k.json"
 END = 2
@@ -37,16 +37,15 @@ KEPT_WORDS = 600_000
 _MAGIC = b"FRP1"
 
 
-def _letters(w: str) -> bool:
-    return w.isalpha() and (w.isascii() or max(w) < "\u0130")
+_MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
 
 class Encoder:
     """Ids of texts, word by word; words are what lies between ASCII white space.
 
     The tokenizer lower-cases, and takes letters and what isn't letters or digits as separate pieces; so A-Z are lowered
-    first (but in texts that might hold a special token's string), and plain letters with a full stop or comma
-    behind them have the ids of both. New words of plain letters are encoded together, by the same model without
+    first (but in texts that might hold a special token's string), and plain letters with ASCII marks behind them
+    have the ids of both. New words of plain letters are encoded together, by the same model without
     the steps that find and normalise pieces, and cut at the ids that end a piece. Any other new word goes through
     the whole tokenizer by itself.
     """
@@ -66,7 +65,7 @@ class Encoder:
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.end = np.array([end], np.uint32).tobytes()
         self.known: dict[bytes, bytes] = {}
-        self.points = {p: self._whole([p])[p] for p in (b".", b",")}
+        self.marks: dict[bytes, bytes] = {}
 
     def _whole(self, words: list[bytes]) -> dict[bytes, bytes]:
         found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
@@ -75,25 +74,28 @@ class Encoder:
     def _plain(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Ids of the words that are plain letters."""
         decoded = b" ".join(words).decode().split(" ") if words else []
-        both = [(raw, w) for raw, w in zip(words, decoded, strict=True) if _letters(w)]
+        both = [(raw, w) for raw, w in zip(words, decoded, strict=True) if w.isalpha() and (w.isascii() or max(w) < "\u0130")]
         found = self.pieces.encode_batch_fast([" ".join([w for _, w in both]).lower()], add_special_tokens=False)[0]
         ids = np.array(found.ids, np.uint32)
-        stops = np.flatnonzero(self.ends[ids]) + 1 if len(ids) else []
+        stops = np.flatnonzero(self.ends[ids]) + 1 if len(ids) else np.zeros(0, int)
         if len(stops) != len(both):
             return {}
-        cuts, raw = [4 * x for x in stops], ids.tobytes()
+        cuts, raw = (4 * stops).tolist(), ids.tobytes()
         return {w: raw[a:b] for (w, _), a, b in zip(both, [0, *cuts], cuts, strict=False)}
 
     def _new(self, words: list[bytes]) -> dict[bytes, bytes]:
-        known, points = self.known, self.points
-        pointed = [w for w in words if w[-1] in b".," and _letters(w[:-1].decode())]
-        bodies = {w[:-1] for w in pointed}
-        fresh = self._plain(list(bodies.union(words).difference(known, pointed)))
-        for w in pointed:
-            body = w[:-1]
-            ids = fresh.get(body) or known.get(body)
-            if ids:
-                fresh[w] = ids + points[w[-1:]]
+        known, marks = self.known, self.marks
+        marked = [(w, body) for w in words if (body := w.rstrip(_MARKS)) and len(body) < len(w)]
+        fresh = self._plain(list({body for _, body in marked}.union(words).difference(known, [w for w, _ in marked])))
+        for w, body in marked:
+            ids = fresh.get(body)
+            if ids is None and body in known and (text := body.decode()).isalpha() and (text.isascii() or max(text) < "\u0130"):
+                ids = known[body]
+            if ids is not None:
+                tail = w[len(body) :]
+                if tail not in marks:
+                    marks[tail] = self._whole([tail])[tail]
+                fresh[w] = ids + marks[tail]
         return fresh | self._whole([w for w in words if w not in fresh])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -110,6 +112,8 @@ class Encoder:
             for got in added:
                 for w in got:
                     known.pop(w, None)
+        if len(self.marks) > KEPT_WORDS // 10:
+            self.marks.clear()
         return np.frombuffer(b"".join(parts), np.uint32), np.array([len(g) // 4 for g in parts], np.int64)
 
 
@@ -320,6 +324,7 @@ def _writer(path: str, shard: int):
 
 def write_shards(docs: DataFrame, tokenizer: str, shard: int = SHARD) -> DataFrame:
     """Writes ``docs`` (doc_id, text) as shard files in ascending doc_id; returns the table of files."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n = partitions(docs.sparkSession)
     dealt = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())

@@ -12,7 +12,7 @@ PATH = public_tokenizers.path(tokens.TOKENIZER)
 
 def texts(seed, n=120):
     r = random.Random(seed)
-    word = lambda: "".join(r.choice(["th", "er", "é", "İ", "ſ", "'s", "don't", "ç", "9", "½", "_", ".", ",", "ß", "σς", "中", "é", "<|endoftext|>", "<|ENDOFTEXT|>", "A", "zz", "-", "Th.", "e,", "'S"]) for _ in range(r.randint(1, 5)))
+    word = lambda: "".join(r.choice(["th", "er", "é", "İ", "ſ", "'s", "don't", "ç", "9", "½", "_", ".", ",", "ß", "σς", "中", "é", "<|endoftext|>", "<|ENDOFTEXT|>", "A", "zz", "-", "Th.", "e,", "a##", "x%%%.", "é!?", "'S"]) for _ in range(r.randint(1, 5)))
     return ["".join(word() + r.choice([" ", " ", "\n", "\t", " ", " ", "\x1c", "\x85"]) for _ in range(r.randint(0, 60))) for _ in range(n)] + ["", " ", None]
 
 
