@@ -32,8 +32,8 @@ from furrow.llm.common import documents, emit, partitions, small_batches, writte
 TOKENIZER = "word_bpe_49k.json"
 END = 2
 SHARD, PAIRS, ROUNDS, LEAST = 500_000, 4096, 3, 16
-#: Distinct words that a process keeps the ids of, about.
-KEPT_WORDS = 600_000
+#: Distinct words that a process keeps the ids of, about (some 200 bytes each).
+KEPT_WORDS = 1_500_000
 _MAGIC = b"FRP1"
 
 
