@@ -80,10 +80,19 @@ def biomass_error(models: Sequence[dict], spread: float = SPREAD, given: Mapping
     return finite(sd + spread)
 
 
-def with_features(df: DataFrame, models: Sequence[dict]) -> tuple[DataFrame, dict[str, Column]]:
-    """``df`` with the models' features as columns, and those columns by name."""
+def with_error(df: DataFrame, models: Sequence[dict], out: str = "se", spread: float = SPREAD) -> DataFrame:
+    """``df`` with the standard error of many models: features, predictions, their mean and the error are columns of
+    their own, so each is computed once a row and all of it is compiled."""
     names = sorted({n for m in models for n in m["coef"]})
-    return df.withColumns({f"_f_{n}": feature(n) for n in names}), {n: F.col(f"_f_{n}") for n in names}
+    kept, n = df.columns, len(models)
+    df = df.withColumns({f"_f_{f}": feature(f) for f in names})
+    given = {f: F.col(f"_f_{f}") for f in names}
+    df = df.withColumns({f"_p_{i}": linear(m, given) for i, m in enumerate(models)})
+    p = [F.col(f"_p_{i}") for i in range(n)]
+    df = df.withColumn("_mean", sum(p[1:], p[0]) / n)
+    off = [(x - F.col("_mean")) * (x - F.col("_mean")) for x in p]
+    error = finite(F.sqrt(sum(off[1:], off[0]) / (n - 1)) + spread) if n > 1 else F.lit(None).cast("double")
+    return df.withColumn(out, error).select(*kept, out)
 
 
 def below(biomass_column: Column, error: Column, threshold: float) -> Column:

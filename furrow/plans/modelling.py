@@ -34,8 +34,7 @@ def biomass_score(spark, d):
 
 @query("biomass_se", f"{WITH} SELECT y, x, t, sensor, round(CASE WHEN {_linear(BIOMASS)} IS NOT NULL THEN {SE} END, 6) AS se FROM obs")
 def biomass_se(spark, d):
-    o, f = models.with_features(obs(spark, d), BOOTSTRAP)
-    return o.select("y", "x", "t", "sensor", F.round(models.biomass_error(BOOTSTRAP, given=f), 6).alias("se"))
+    return models.with_error(obs(spark, d), BOOTSTRAP).select("y", "x", "t", "sensor", F.round("se", 6).alias("se"))
 
 
 def _prob(p: str) -> str:
@@ -46,8 +45,8 @@ def _prob(p: str) -> str:
 
 @query("biomass_prob", f"{WITH}, {_prob('p')}")
 def biomass_prob(spark, d):
-    o, f = models.with_features(obs(spark, d).where(models.linear(BIOMASS).isNotNull()), BOOTSTRAP)
-    o = o.select("y", "x", "t", "sensor", models.biomass(BIOMASS).cast("double").alias("bm"), models.biomass_error(BOOTSTRAP, given=f).alias("se"))
+    o = models.with_error(obs(spark, d).where(models.linear(BIOMASS).isNotNull()), BOOTSTRAP)
+    o = o.withColumn("bm", models.biomass(BIOMASS).cast("double"))
     return o.select("y", "x", "t", "sensor", F.round(models.below(F.col("bm"), F.col("se"), 1500), 6).alias("p"))
 
 
