@@ -257,21 +257,21 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, group: int = GROUP) ->
     document are repeated. docs: doc_id, text_hash and text as binary."""
     spark = docs.sparkSession
     found = written(docs.mapInArrow(_scanner(length), "digit long, whole long, doc_id long, text_hash long, first long, last long"), "runs")
-    digits = found.groupBy("digit").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digit").alias("d"))
+    # Written, as a join right behind an aggregation has no exchange whose large partitions Spark could split.
+    digits = written(found.groupBy("digit").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digit").alias("d")), "digits")
     left = written(found.join(digits, F.col("digit") == F.col("d"), "left_semi"), "left")
-    dropped(found)
+    dropped(found, digits)
     released(spark)
     distinct = left.groupBy("digit", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "text_hash", "first", "last")).alias("at"))
     distinct = written(distinct, "distinct")
     copied = distinct.where("n > 1").select(F.col("digit").alias("d"), F.col("whole").alias("w"))
     full = written(left.join(copied, (F.col("digit") == F.col("d")) & (F.col("whole") == F.col("w")), "left_semi").select("doc_id", "text_hash", "first", "last"), "full")
     groups = distinct.groupBy("digit").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1")
-    groups = groups.select(F.col("digit").alias("d"), (F.col("m") > group).alias("large"))
+    groups = written(groups.select(F.col("digit").alias("d"), (F.col("m") > group).alias("large")), "groups")
     todo = distinct.join(groups, F.col("digit") == F.col("d")).select("at.doc_id", "at.text_hash", F.struct("digit", "at.first", "at.last", (F.col("n") == 1).alias("single"), "large").alias("run"))
     todo = written(todo.groupBy("doc_id", "text_hash").agg(F.collect_list("run").alias("todo")), "todo")
-    dropped(left, distinct)
+    dropped(left, distinct, groups)
     released(spark)
-    # Rows repeated as a whole have no single runs; one of them opens what others need to see.
     texts = joined(docs, todo, ["doc_id", "text_hash"])
     parts = written(texts.mapInArrow(_opener(length), OPENED), "opened")
     dropped(todo)
