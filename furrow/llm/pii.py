@@ -3,10 +3,11 @@
 Base: the leftmost matches of each kind that don't overlap, dropped (not retried) where the digits, the
 parts or the Luhn sum fail. Every match, and every other token with a digit, an @ or an (at) in it
 (a candidate), is an occurrence of an instance (its text) in a lexical pattern (the two words before it, lower-cased).
-Seeds are the instances of the base patterns. Patterns and instances make a graph that Spark scores in turn:
+A run of digits with spaces and the other separators of ``SHAPE`` that looks like a card or a phone is one candidate in
+place of its tokens. Seeds are the instances of the base patterns. Patterns and instances make a graph that Spark scores in turn:
 a pattern's confidence for a kind is the mean confidence of its distinct instances (others count 0), with at least
-``SUPPORT`` distinct seeds of the kind among them; an instance's is 1 - prod(1 - confidence of its
-patterns) and 1 for seeds. After ``ROUNDS`` rounds, candidates whose own pattern has at least
+``SUPPORT`` distinct instances among them that are seeds of the kind or look like it and were believed in the round
+before; an instance's is 1 - prod(1 - confidence of its patterns) and 1 for seeds. After ``ROUNDS`` rounds, candidates whose own pattern has at least
 ``CONFIDENT`` and that look like the kind (``SHAPE``) become spans, unless they touch a base span.
 
 Null texts count as empty. Offsets are code points, ends exclusive. Repeated rows each have their own (equal)
@@ -35,6 +36,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TOKEN = re.compile(r"(?<!\S)(?:[^\s0-9@(\[]|[(\[](?!at[)\]]))*+[0-9@(\[]\S*+")
+#: A run of digits, its separators as in the shapes of cards and phones; possessive, so each is read once.
+_RUN = re.compile(r"(?<![\w@])\(?[0-9](?:[\x20()./-]{0,2}+[0-9])*+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _EDGE = "\"'()[]{}<>,;:!?."
 #: What a candidate of each kind must look like at the least (instances are in lower case).
@@ -44,6 +47,7 @@ SHAPE = {
     "card": r"^[0-9]([ ./-]?[0-9]){11,18}$",
     "phone": r"^\(?[0-9]([ ()./-]{0,2}[0-9]){5,14}$",
 }
+_SPACED = re.compile(f"{SHAPE['card']}|{SHAPE['phone']}")
 
 
 def luhn(digits: str) -> bool:
@@ -93,12 +97,28 @@ def joined_spans(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
+def spaced_runs(text: str) -> Iterator[tuple[int, int]]:
+    """Runs of digits with spaces among them that look like a card or a phone, in order."""
+    for m in _RUN.finditer(text):
+        a, b = m.span()
+        # 19 digits with two separators between any two and a bracket: 56 characters.
+        if b - a <= 56 and " " in m[0] and not text[b : b + 1].isalnum() and text[b : b + 1] not in ("_", "@") and _SPACED.match(m[0]):
+            yield a, b
+
+
 def occurrences(text: str | None, base: list[tuple[str, int, int]]) -> list[tuple[str, str, str | None, int, int]]:
     """(pattern, instance, kind or None, start, end) of the base spans and the candidates of a text."""
     text = text or ""
     found = [(a, b, k) for k, a, b in base]
     taken = sorted((a, b) for a, b, _ in found)
-    i = 0
+    runs, i = [], 0
+    for a, b in spaced_runs(text):
+        while i < len(taken) and taken[i][1] <= a:
+            i += 1
+        if not (i < len(taken) and taken[i][0] < b):
+            runs.append((a, b))
+    found += [(a, b, None) for a, b in runs]
+    taken, i = sorted(taken + runs), 0
     for m in _TOKEN.finditer(text):
         raw = m[0]
         a = m.start() + len(raw) - len(raw.lstrip(_EDGE))
@@ -149,26 +169,28 @@ def scanned(docs: DataFrame) -> DataFrame:
 
 def patterns(seen: DataFrame, support: int = SUPPORT, confident: float = CONFIDENT, rounds: int = ROUNDS) -> DataFrame:
     """(pattern, kind, confidence) of the patterns that qualify; seen: pattern, instance, kind of occurrences."""
-    edges = seen.groupBy("pattern", "instance").agg(F.max("kind").alias("kind"))
-    kinds = edges.groupBy("instance").agg(F.max("kind").alias("kind"))  # a seed anywhere is a seed everywhere
-    strong = edges.where("kind is not null").groupBy("pattern", F.col("kind").alias("target")).agg(F.count(F.lit(1)).alias("seeds")).where(F.col("seeds") >= support)
-    graph = joined(edges.drop("kind"), strong.drop("seeds"), ["pattern"])
-    graph = written(joined(graph, kinds, ["instance"]).select("pattern", "instance", "target", (F.col("kind").eqNullSafe(F.col("target"))).alias("seed")), "graph")
-    scores = graph.groupBy("pattern", "target").agg(F.avg(F.col("seed").cast("double")).alias("confidence"))
-    for _ in range(rounds):
-        known = joined(graph, scores, ["pattern", "target"]).groupBy("instance", "target").agg(
-            F.when(F.max("seed"), F.lit(1.0)).otherwise(1 - F.exp(F.sum(F.log1p(-F.least(F.col("confidence"), F.lit(0.999999)))))).alias("belief")
-        )
+    edges = written(seen.groupBy("pattern", "instance").agg(F.max("kind").alias("kind")), "edges")
+    # A seed anywhere is a seed everywhere.
+    seeds = edges.where("kind is not null").groupBy("instance").agg(F.max("kind").alias("target")).withColumns({"belief": F.lit(1.0), "found": F.lit(True)})
+    edges = edges.drop("kind")
+    sizes = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("size"))
+    known = seeds
+    for left in range(rounds, -1, -1):
+        votes = joined(edges, known, ["instance"]).groupBy("pattern", "target").agg(F.sum("belief").alias("belief"), F.count_if("found").alias("n")).where(F.col("n") >= support)
+        scores = written(joined(votes, sizes, ["pattern"]).select("pattern", "target", (F.col("belief") / F.col("size")).alias("confidence")), "scores")
+        if not left:
+            break
+        told = joined(edges, scores, ["pattern"]).groupBy("instance", "target").agg((1 - F.exp(F.sum(F.log1p(-F.least(F.col("confidence"), F.lit(0.999999)))))).alias("belief"))
         # Beliefs below one half are doubts, not evidence.
-        known = known.withColumn("belief", F.when(F.col("belief") >= 0.5, F.col("belief")).otherwise(0.0))
-        scores = written(joined(graph, known, ["instance", "target"]).groupBy("pattern", "target").agg(F.avg("belief").alias("confidence")), "scores")
+        told = told.where(F.col("belief") >= 0.5).withColumn("found", _shaped("target")).unionByName(seeds)
+        known = told.groupBy("instance", "target").agg(F.max("belief").alias("belief"), F.max("found").alias("found"))
     return scores.where(F.col("confidence") >= confident).select("pattern", F.col("target").alias("kind"), "confidence")
 
 
-def _shaped() -> Column:
+def _shaped(column: str = "kind") -> Column:
     out = F.lit(False)
     for kind, shape in SHAPE.items():
-        out = out | ((F.col("kind") == kind) & F.col("instance").rlike(shape))
+        out = out | ((F.col(column) == kind) & F.col("instance").rlike(shape))
     return out
 
 

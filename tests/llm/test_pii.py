@@ -69,3 +69,33 @@ def test_repeated_rows_null_ids_and_empty_tables(spark):
     assert sorted((r.doc_id is None, r.spans) for r in got) == [(False, "phone:5:20")] * 2 + [(True, "ip:3:11")]
     assert pii.masked(docs).count() == 3
     assert pii.extracted(docs.limit(0)).count() == 0
+
+
+def test_identifiers_with_spaces_are_one_candidate():
+    for text, own in (
+        ("please ring me (314) 555-6532 soon", "(314) 555-6532"),
+        ("please ring me 0314 555 6532.", "0314 555 6532"),
+        ("card of mine 4111 1111 1111 1112, paid", "4111 1111 1111 1112"),
+        ("card of mine 4111 1111 1111 1111, paid", None),
+        ("a b 0314 555 6532x", None),
+        ("on the 12 34 of", None),
+    ):
+        got = [o for o in pii.occurrences(text, pii.base_spans(text)) if o[2] is None and " " in o[1]]
+        assert [(o[1], text[o[3] : o[4]].lower()) for o in got] == ([(own, own)] if own else []), text
+        spans = sorted(o[3:] for o in pii.occurrences(text, pii.base_spans(text)))
+        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
+
+
+def test_long_spaced_runs_are_linear():
+    for t in ("1 " * 150_000 + "a", "(1) " * 100_000, "a1 1" * 100_000, "1  " * 100_000):
+        pii.occurrences(t, pii.base_spans(t))
+
+
+def test_spaced_identifiers_are_masked_and_found_ones_induce_patterns(spark):
+    texts = [f"just call me +1 314 555 6{i}32 now" for i in range(12)] + [f"just call me 0314 555 7{i}32 now" for i in range(10, 16)]
+    # No seed follows "tel number"; the numbers found above do, and one that is nowhere else.
+    texts += [f"the tel number 0314 555 7{i}32 is" for i in range(10, 16)] + ["the tel number (0314) 555 9999 is", "one of us 0314 555 8888 is"]
+    docs = rows(spark, texts)
+    out = [r.text for r in pii.masked(docs).orderBy("doc_id").collect()]
+    assert out[:18] == ["just call me <phone> now"] * 18
+    assert out[18:] == ["the tel number <phone> is"] * 7 + texts[-1:]
