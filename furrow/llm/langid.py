@@ -7,8 +7,10 @@ against others measured on the scale of ``SCALE`` bytes; the margin is how much
 best total is than the second. A margin under ``MARGIN`` is narrow: the text isn't accepted.
 
 Trained on at most ``SAMPLE`` documents a language (the first by a hash of doc_id, 200 to 8,192
-characters long) whose crc32(doc_id as text) mod 4 is not 2 and whose lang is not null; only text and
-lang are learned from. With no such document every prediction is ``und``. Texts that are null or
+characters long) whose crc32(doc_id as text) mod 4 is not 2, whose lang is not null and that have a letter; only text and
+lang are learned from. A language with fewer of them is filled up with its other texts: of longer ones the first 8,192
+letters count as a document, and shorter ones count by their length, 200 characters a document.
+With no such document every prediction is ``und``. Texts that are null or
 have no letter are ``und`` with score 0 and are not accepted. Null ids are never held out and never trained on.
 Every row, repeated or not, has its own result; other columns are ignored.
 """
@@ -28,6 +30,8 @@ from furrow.llm.common import documents, emit, sliced, small_batches
 
 SAMPLE, DICTIONARY, PIECE, LEVEL = 48, 110_000, 1024, 6
 SCALE, MARGIN = 8.0, 0.005
+#: Characters of a text of usual length.
+SHORT, LONG = 200, 8192
 UNKNOWN = "und"
 _OTHER = re.compile(r"[\W\d_]+")
 
@@ -43,12 +47,33 @@ def held_out() -> Column:
 
 def sample(docs: DataFrame, size: int = SAMPLE) -> DataFrame:
     """(lang, text) of at most ``size`` documents a language."""
-    able = docs.where(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.length("text").between(200, 8192))
+    named = docs.where(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    able = named.where(F.length("text").between(SHORT, LONG))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = able.select("doc_id", "lang").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= size)
     ids = ids.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), "nth")
     # SAMPLE rows of three short columns for each language: bounded.
     texts = able.join(F.broadcast(ids), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")))
+    return texts.select("lang", "text", "nth").unionByName(_filling(named, ids, size))
+
+
+def _filling(named: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """(lang, text, nth) of shorter and longer texts for languages with fewer than ``size`` of usual length."""
+    have = ids.groupBy(F.col("_lang").alias("lang")).agg(F.count(F.lit(1)).alias("have"))
+    other = named.where(~F.length("text").between(SHORT, LONG)).join(F.broadcast(have), "lang", "left")
+    other = other.withColumn("have", F.coalesce("have", F.lit(0))).where(F.col("have") < size)
+    # Letters alone, as in letters(), before a long text is cut: its first characters may have none.
+    text = F.substring(F.regexp_replace("text", r"[^\p{L}\p{Nl}\p{No}]+", " "), 1, LONG)
+    other = other.select("doc_id", "lang", "have", text.alias("text"))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    share = F.least(F.length("text") / SHORT, F.lit(1.0))
+    # The shortest texts count for a 200th of a document: more than these rows never fit.
+    ids = other.select("doc_id", "lang", "have", share.alias("share")).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= size * SHORT)
+    before = F.sum("share").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    ids = ids.withColumn("before", F.coalesce(before, F.lit(0.0))).where(F.col("have") + F.col("before") < size)
+    ids = ids.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), (F.col("have") + F.col("nth")).cast("int").alias("nth"))
+    # Rows of three short columns, SAMPLE * SHORT for each language at most: bounded.
+    texts = other.join(F.broadcast(ids), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")))
     return texts.select("lang", "text", "nth")
 
 

@@ -126,3 +126,27 @@ def test_language_by_compression(spark):
     empty = docs.limit(0)
     assert langid.identified(empty, langid.train(empty), ["doc_id"]).count() == 0
     assert {r.lang_pred for r in langid.identified(docs, {}, ["doc_id"]).collect()} == {"und"}
+
+
+def test_languages_of_short_or_long_texts_are_learned(spark):
+    r = random.Random(2)
+    parts = {"xx": ["ka", "lo", "mi", "ter"], "yy": ["oué", "ch", "enn", "ßi"], "zz": ["pra", "stu", "vyx", "omo"], "ww": ["guh", "bja", "fep", "rul"]}
+
+    def text(lang, n):
+        return " ".join("".join(r.choice(parts[lang]) for _ in range(r.randint(1, 4))) for _ in range(n))
+
+    words = {"xx": 80, "yy": 10, "zz": 3000}
+    rows = [(i, "0 " * 5000 * (lang == "zz") + text(lang, words[lang]), lang) for i in range(240) for lang in ["xx", "yy", "yy", "zz"][i % 4 : i % 4 + 1]]
+    rows += [(500 + i, "é" if i % 2 else "12 34", "vv") for i in range(8)] + [(600, text("ww", 20), "ww"), (603, text("ww", 3000), "ww")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    assert set(model) == {*words, "vv", "ww"}
+    # Short texts together make up as much as documents of usual length do, not SAMPLE of them.
+    few = langid.sample(docs, 5).where("lang = 'yy'")
+    lengths = [len(x.text) for x in few.collect()]
+    assert len(lengths) > 5 and 5 * 200 <= sum(lengths) < 6 * 200
+    assert max(len(x.text) for x in langid.sample(docs).where("lang = 'zz'").collect()) <= langid.LONG
+    got = langid.identified(docs, model, ["doc_id", "lang"]).where("lang <> 'vv'").collect()
+    assert sum(x.lang_pred == x.lang for x in got) >= 0.97 * len(got)
+    # With usual texts enough, no others are taken.
+    assert {len(x.text) >= langid.SHORT for x in langid.sample(docs, 5).where("lang = 'xx'").collect()} == {True}
