@@ -116,9 +116,14 @@ def shadow_project(spark, d):
     return raster.shadow_zone(c, angles, LONGEST, SHORTEST).select("t", "y", "x", "zone")
 
 
-def scene(spark, d, dates: int = 24):
-    """A scene of 24 x 24 pixels out of chips: nine of them a date, with bands that follow their values."""
-    c = chips(spark, d).where(F.col("t") < 9 * dates)
+def scene(spark, d, dates: int | None = None):
+    """A scene of 24 x 24 pixels out of chips: nine of them a date, with bands that follow their values. All chips,
+    so that the dates grow with the table, or those of the first ``dates`` alone."""
+    c = chips(spark, d)
+    if dates is None:
+        top = spark.read.parquet(f"{d}/embeddings.parquet").agg(F.max("vec_id")).first()[0]
+        dates = (top or 0) // 9 + 1
+    c = c.where(F.col("t") < 9 * dates)
     c = c.select((F.col("t") % dates).alias("t"), (F.col("y") + 8 * F.floor(F.col("t") / dates / 3)).cast("int").alias("y"), (F.col("x") + 8 * (F.floor(F.col("t") / dates) % 3)).cast("int").alias("x"), "val", "mask")
     bright = F.when(F.col("mask") == 2, 2500).when(F.col("mask") == 0, -150).otherwise(0)
     noise = lambda k: F.floor(F.abs(F.col("val")) * k)

@@ -63,3 +63,32 @@ def test_staged_mask_codes(spark):
 
     got = atsa.mask(scene(spark, "/root/testdata/sf0.001", 6), atsa.Parameters(longest=8))
     assert {r[0] for r in got.select("mask").distinct().collect()} <= {0, 1, 2, 3} and got.count() == 6 * 576
+
+
+def test_scene_has_every_chip(spark):
+    import math
+
+    import pyarrow.parquet as pq
+
+    from furrow.plans.images import atsa_prepare
+
+    d = "/root/testdata/sf0.001"
+    table = pq.read_table(f"{d}/embeddings.parquet", columns=["vec_id", "embedding"]).to_pylist()
+    dates, want = math.ceil((1 + max(r["vec_id"] for r in table)) / 9), {}
+    for r in table:
+        part, t = divmod(r["vec_id"], dates)
+        for i, e in enumerate(r["embedding"]):
+            cloud, dark = e > 0.1, e < -0.2
+            blue = 400 + (2500 if cloud else -150 if dark else 0) + math.floor(abs(float(e)) * 900)
+            want[t, i // 8 + 8 * (part // 3), i % 8 + 8 * (part % 3)] = (int(cloud or dark), 0, int(cloud), int(dark), float(blue))
+    rows = atsa_prepare(spark, d).collect()
+    got = {(r.t, r.y, r.x): (r.qa, r.water, r.qa_cloud, r.qa_shadow, r.BLUE) for r in rows}
+    assert len(rows) == len(got) == 64 * len(table)
+    assert got == want
+
+
+def test_mask_has_every_pixel_of_the_table(spark):
+    from furrow.plans.images import atsa_mask
+
+    got = atsa_mask(spark, "/root/testdata/sf0.001")
+    assert got.count() == 500 * 64 and {r[0] for r in got.select("mask").distinct().collect()} <= {0, 1, 2, 3}
