@@ -14,13 +14,15 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where the session has none (tests), a temporary one."""
+    """The folder of ``spark.checkpoint.dir``; a local session that has none (tests) gets a temporary one, a cluster an error."""
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir", None)
     if not at:
         found = sc._jsc.sc().getCheckpointDir()
         if found.isDefined():
             at = found.get()
+        elif not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         else:
             at = tempfile.mkdtemp(prefix="furrow-")
             sc.setCheckpointDir(at)
@@ -114,6 +116,73 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple
         yield key, held
 
 
+def chunked(batches: Iterator[pa.RecordBatch], keys: list[str], most: Callable[[tuple], int]) -> Iterator[tuple[tuple, list[pa.RecordBatch]]]:
+    """Like groups(), but a run of equal keys comes in chunks of up to ``most`` (key) rows, so that none is held whole."""
+    key: tuple | None = None
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for b in sliced(batches):
+        cols = [b.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        change = np.zeros(b.num_rows, bool)
+        change[:1] = True
+        for c in cols:
+            change[1:] |= c[1:] != c[:-1]
+        starts = np.flatnonzero(change)
+        for s, e in zip(starts.tolist(), [*starts[1:].tolist(), b.num_rows], strict=True):
+            k = tuple(c[s] for c in cols)
+            while s < e:
+                if held and (k != key or n >= most(key)):
+                    yield key, held
+                    held, n = [], 0
+                key = k
+                take = min(e - s, max(1, most(k) - n))
+                held.append(b.slice(s, take))
+                s, n = s + take, n + take
+    if held:
+        yield key, held
+
+
+class Cells:
+    """Median splits along the widest directions of a bounded sample of vectors: near vectors share a cell."""
+
+    def __init__(self, x: np.ndarray, cells: int):
+        self.directions, self.limits, self.below = [], [], []
+        todo, leaves = [(np.arange(len(x)), -1, 0)], 1
+        while todo:
+            at, parent, side = todo.pop(0)
+            with np.errstate(over="ignore", invalid="ignore"):
+                part = x[at]
+                away = part - part.mean(0)
+                size = np.nan_to_num((away * away).sum(1))
+                far = np.nan_to_num(away[np.argmax(size)]) if len(at) else np.zeros(x.shape[1])
+                top = np.abs(far).max(initial=0)
+                far = far / top if top > 0 else far
+                place = np.nan_to_num(part @ far)
+            limit = float(np.median(place)) if len(at) else 0.0
+            me = len(self.directions)
+            self.directions.append(far)
+            self.limits.append(limit)
+            self.below.append([-1, -1])
+            if parent >= 0:
+                self.below[parent][side] = me
+            low = place <= limit
+            if leaves < cells and 0 < low.sum() < len(at):
+                leaves += 1
+                todo += [(at[low], me, 0), (at[~low], me, 1)]
+        self.directions, self.limits, self.below = np.array(self.directions), np.array(self.limits), np.array(self.below)
+
+    def of(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The cell of each row, and where it lies along the cell's widest direction."""
+        node = np.zeros(len(x), np.int64)
+        with np.errstate(over="ignore", invalid="ignore"):
+            while True:
+                place = np.nan_to_num(np.einsum("ij,ij->i", x, self.directions[node]))
+                to = np.where(place <= self.limits[node], self.below[node, 0], self.below[node, 1])
+                if (to < 0).all():
+                    return node, place
+                node = np.where(to < 0, node, to)
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Batches of at most ``rows``, so that what a task holds besides its input stays small."""
     for b in batches:
@@ -171,7 +240,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (two long columns): root is the smallest reachable node.
 
     Alternating large-star and small-star steps on distributed edges; each round first contracts
-    what lies in one partition and is written to the shared folder. No null nodes.
+    what lies in one partition and is written to the shared folder. Least neighbours are written before they are joined, so
+    that Spark can split the edges of a hub. No null nodes.
     """
     spark = edges.sparkSession
     e = edges.toDF("a", "b").where("a <> b").mapInArrow(_contract, "a long, b long")
@@ -183,15 +253,15 @@ def components(edges: DataFrame) -> DataFrame:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select("b", "b").distinct())
         seen, old = mark, e
         both = e.union(e.select("b", "a"))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
+        low = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m")), "low")
         large = both.join(low, both["a"] == low["k"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small = large.distinct()
-        least = small.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "k")
+        small = written(large.distinct(), "stars")
+        least = written(small.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "k"), "least")
         star = small.join(least, small["a"] == least["k"])
         star = star.select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x"))
         star = star.select("x.a", "x.b").where("a <> b").mapInArrow(_contract, "a long, b long").distinct()
         e = written(star, "edges")
-        dropped(old)
+        dropped(old, low, small, least)
 
 
 def emit(rows: dict[str, Callable | pa.Array]) -> pa.RecordBatch:
