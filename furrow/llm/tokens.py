@@ -1,17 +1,18 @@
 """Token ids in grammar-compressed shard files (Re-Pair), written and read back.
 
 Every whole text (null: empty) is encoded with a public tokenizer, an end id is appended, and documents follow each
-other in ascending doc_id (null ids first, then by text). Rows are range-sorted by doc_id; a task cuts its range
-into shards of about ``SHARD`` ids, whole documents each. In a shard, round after round, frequent pairs of
-neighbouring ids are replaced by nonterminals (Re-Pair, ``PAIRS`` pairs a round, up to ``ROUNDS`` rounds or until none
-occurs ``LEAST`` times). A shard file holds its rules, the length that each rule expands to, the final
+other in ascending doc_id (null ids first). Rows are range-sorted by doc_id; a task cuts its range
+into shards of about ``SHARD`` ids, whole documents each. In a shard the most frequent pairs of neighbouring
+ids are replaced by nonterminals, round after round, until no pair occurs ``LEAST`` times without overlap (Re-Pair). A
+shard file holds its rules, the length that each rule expands to, the final
 sequence, and for each document where its part of the sequence begins: no rule crosses a document's end, so any
 document is decoded on its own, and any id in it is found by expansion lengths.
 
 Files are the rows of a Parquet table (part, shard, first row, payload), so they live in any store that Spark
-writes to. Memory is bounded by a shard or, if longer, one document. Texts are split at ASCII white space, which the
-tokenizer drops and never joins over, and each distinct word is encoded once in a task. Repeated rows are written
-as often as they occur. Other columns are ignored.
+writes to. Memory is bounded by a shard or, if longer, one document, and ``KEPT`` bytes of known words. Texts are split at ASCII white space,
+which the tokenizer drops and never joins over, and each distinct word is encoded once in a task. Rows of one id, or none, follow each
+other by the hash of their text, so they need not be in one task; repeated rows are written as often as they occur. An empty table has no
+files and no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,10 +33,10 @@ from furrow.llm.common import documents, emit, partitions, small_batches, writte
 
 TOKENIZER = "word_bpe_49k.json"
 END = 2
-SHARD, PAIRS, ROUNDS, LEAST = 500_000, 4096, 3, 16
-#: Distinct words that a process keeps the ids of, about (some 200 bytes each).
-KEPT_WORDS = 1_500_000
-_MAGIC = b"FRP1"
+SHARD, LEAST = 500_000, 2
+#: Bytes of words and their ids that a process keeps, about; each has some OVERHEAD more.
+KEPT, OVERHEAD = 300_000_000, 200
+_MAGIC = b"FRP2"
 
 
 _MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
@@ -65,6 +67,7 @@ class Encoder:
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.end = np.array([end], np.uint32).tobytes()
         self.known: dict[bytes, bytes] = {}
+        self.held = 0
         self.marks: dict[bytes, bytes] = {}
 
     def _whole(self, words: list[bytes]) -> dict[bytes, bytes]:
@@ -83,14 +86,15 @@ class Encoder:
         cuts, raw = (4 * stops).tolist(), ids.tobytes()
         return {w: raw[a:b] for (w, _), a, b in zip(both, [0, *cuts], cuts, strict=False)}
 
-    def _new(self, words: list[bytes]) -> dict[bytes, bytes]:
-        known, marks = self.known, self.marks
+    def _new(self, words: list[bytes], more: dict[bytes, bytes]) -> dict[bytes, bytes]:
+        """Ids of words that neither ``known`` nor ``more`` has."""
+        marks = self.marks
         marked = [(w, body) for w in words if (body := w.rstrip(_MARKS)) and len(body) < len(w)]
-        fresh = self._plain(list({body for _, body in marked}.union(words).difference(known, [w for w, _ in marked])))
+        fresh = self._plain(list({body for _, body in marked}.union(words).difference(self.known, more, [w for w, _ in marked])))
         for w, body in marked:
             ids = fresh.get(body)
-            if ids is None and body in known and (text := body.decode()).isalpha() and (text.isascii() or max(text) < "\u0130"):
-                ids = known[body]
+            if ids is None and (text := body.decode()).isalpha() and (text.isascii() or max(text) < "\u0130"):
+                ids = self.known.get(body) or more.get(body)
             if ids is not None:
                 tail = w[len(body) :]
                 if tail not in marks:
@@ -101,18 +105,17 @@ class Encoder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts with the end ids, and how many each text has."""
         words = [(t if b"<|" in t else t.lower()).split() for t in (x.encode() for x in texts)]
-        known, added = self.known, []
-        new = list(set().union(*words).difference(known))
+        known, fresh = self.known, {}
+        parts = [list(map(known.get, x)) for x in words]
+        new = list({w for x, p in zip(words, parts, strict=True) if None in p for w, ids in zip(x, p, strict=True) if ids is None})
         for i in range(0, len(new), 10_000):
-            got = self._new([w for w in new[i : i + 10_000] if w not in known])
-            known |= got
-            added.append(got)
-        parts = [b"".join(map(known.__getitem__, x)) + self.end for x in words]
-        if len(known) > KEPT_WORDS:
-            for got in added:
-                for w in got:
-                    known.pop(w, None)
-        if len(self.marks) > KEPT_WORDS // 10:
+            fresh |= self._new(new[i : i + 10_000], fresh)
+        parts = [b"".join(p if None not in p else [ids if ids is not None else fresh[w] for w, ids in zip(x, p, strict=True)]) + self.end for x, p in zip(words, parts, strict=True)]
+        size = sum(map(len, fresh)) + sum(map(len, fresh.values())) + OVERHEAD * len(fresh)
+        if self.held + size <= KEPT:
+            known |= fresh
+            self.held += size
+        if len(self.marks) > 100_000:
             self.marks.clear()
         return np.frombuffer(b"".join(parts), np.uint32), np.array([len(g) // 4 for g in parts], np.int64)
 
@@ -127,69 +130,74 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def repair(ids: np.ndarray, starts: np.ndarray, end: int = END, pairs: int = PAIRS, rounds: int = ROUNDS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repair(ids: np.ndarray, starts: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rules, sequence, starts): rules[i] is the pair that nonterminal base + i stands for, where base is the
-    largest id + 1; starts are those of the documents in the sequence."""
-    seq = ids.astype(np.uint32)
-    base = int(seq.max(initial=0)) + 1
-    fence = np.zeros(len(seq), bool)  # where a pair must not begin: at a document's end
-    fence[starts[1:] - 1] = True
-    if len(fence):
-        fence[-1] = True
-    first = np.zeros(len(seq), bool)
-    first[starts] = True
-    rules = np.zeros((0, 2), np.uint32)
-    bits = 20
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        left, right = seq[:-1], seq[1:]
-        slot = (left * np.uint32(0x9E3779B1) ^ right * np.uint32(0x85EBCA77)) >> np.uint32(32 - bits)
-        slot[fence[:-1]] = 1 << bits
-        count = np.bincount(slot, minlength=(1 << bits) + 1)[:-1]
-        often = np.flatnonzero(count >= least)
-        if len(often) > pairs:
-            often = often[np.argpartition(count[often], len(often) - pairs)[-pairs:]]
-        if not len(often):
+    largest id + 1; starts are those of the documents in the sequence.
+
+    A round replaces every place whose pair is more frequent than those that overlap it (ties at random, seeded). Then only the
+    places beside a replaced one, and those that had to stand back, can hold a pair that recurs: they are the next round's
+    queue, so a shard's rounds together are some three times its length."""
+    n = len(ids)
+    seq = ids.astype(np.int64)
+    base, made, rules = int(seq.max(initial=0)) + 1, 0, []
+    # Neighbours in the same document; -1, the last place of the arrays, where there is none.
+    after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+    after[starts[1:] - 1] = -1
+    after[-1:] = -1
+    before[starts] = -1
+    alive, strength = np.ones(n, bool), np.zeros(n + 1, np.int64)
+    random = np.random.default_rng(0)
+    at = np.flatnonzero(after >= 0).astype(np.int32)
+    while len(at):
+        to = after[at]
+        key = seq[at] << 32 | seq[to]
+        code, found = pd.factorize(key)
+        free = np.ones(len(at), bool)
+        twin = np.flatnonzero((key >> 32) == (key & 0xFFFFFFFF))
+        if len(twin):
+            # Of the places of one id in a row, every second one from the left.
+            p = at[twin]
+            stretch = np.flatnonzero(np.append(True, to[twin][:-1] != p[1:]))
+            odd = (np.arange(len(p)) - np.repeat(stretch, np.diff(np.append(stretch, len(p))))) & 1
+            free[twin[odd == 1]] = False
+        count = np.bincount(code[free], minlength=len(found))
+        often = count >= least
+        power = np.where(often, count * np.int64(len(found)) + random.permutation(len(found)), 0)[code]
+        power[~free] = 0
+        strength[at] = power
+        win = (power > strength[before[at]]) & (power > strength[to])
+        strength[at] = 0
+        worth = np.bincount(code[win], minlength=len(found)) >= least
+        win &= worth[code]
+        place, gone = at[win], to[win]
+        if not len(place):
             break
-        # A slot stands for the pair that is met first in it; others that share the slot wait.
-        rank = np.full((1 << bits) + 1, -1, np.int32)
-        rank[often] = np.arange(len(often))
-        r = rank[slot]
-        at = np.flatnonzero(r >= 0)
-        r = r[at]
-        first_at = np.zeros(len(often), np.int64)
-        first_at[r[::-1]] = at[::-1]
-        pair = seq[first_at], seq[first_at + 1]
-        at = at[(left[at] == pair[0][r]) & (right[at] == pair[1][r])]
-        # Of overlapping places, every second one from the left of each stretch.
-        stretch = np.flatnonzero(np.append(True, at[1:] != at[:-1] + 1))
-        odd = (np.arange(len(at)) - np.repeat(stretch, np.diff(np.append(stretch, len(at))))) & 1
-        at = at[odd == 0]
-        r = rank[slot[at]]
-        used = np.bincount(r, minlength=len(often))
-        worth = used >= 3
-        number = np.cumsum(worth) - 1
-        at, r = at[worth[r]], r[worth[r]]
-        if not len(at):
-            break
-        new = np.stack([pair[0][worth], pair[1][worth]], 1)
-        seq = seq.copy()
-        seq[at] = base + len(rules) + number[r]
-        fence[at] = fence[at + 1]
-        keep = np.ones(len(seq), bool)
-        keep[at + 1] = False
-        seq, fence, first = seq[keep], fence[keep], first[keep]
-        rules = np.concatenate([rules, new])
-    return rules, seq, np.flatnonzero(first)
+        pair = found[worth]
+        rules.append(np.stack([pair >> 32, pair & 0xFFFFFFFF], 1))
+        seq[place] = base + made + (np.cumsum(worth) - 1)[code[win]]
+        made += len(pair)
+        alive[gone] = False
+        rest = after[gone]
+        after[place] = rest
+        before[rest[rest >= 0]] = place[rest >= 0]
+        queue = np.zeros(n + 1, bool)
+        queue[at[often[code]]] = True
+        queue[place] = True
+        queue[before[place]] = True
+        at = np.flatnonzero(queue[:n] & alive).astype(np.int32)
+        at = at[after[at] >= 0]
+    first = np.zeros(n, bool)
+    first[starts] = True
+    every = np.concatenate(rules) if rules else np.zeros((0, 2))
+    return every.astype(np.uint32), seq[alive].astype(np.uint32), np.flatnonzero(first[alive])
 
 
 def lengths(rules: np.ndarray, base: int) -> np.ndarray:
     """Ids that each nonterminal expands to; rules only refer to earlier ones."""
     out = np.ones(len(rules), np.int64)
-    for _ in range(64):
-        side = np.where(rules >= base, out[np.maximum(rules.astype(np.int64) - base, 0)], 1) if len(rules) else rules
-        total = side.sum(1) if len(rules) else out
+    place = np.maximum(rules.astype(np.int64) - base, 0)
+    while len(rules):
+        total = np.where(rules >= base, out[place], 1).sum(1)
         if np.array_equal(total, out):
             break
         out = total
@@ -217,14 +225,14 @@ def _packed(x: np.ndarray, most: int) -> bytes:
     return x.astype("<u2" if most <= 1 << 16 else "<u4").tobytes()
 
 
-def shard_bytes(ids: np.ndarray, counts: np.ndarray, end: int = END) -> bytes:
+def shard_bytes(ids: np.ndarray, counts: np.ndarray) -> bytes:
     """A shard file of documents with ``counts`` ids each."""
     starts = np.cumsum(counts) - counts
-    rules, seq, begin = repair(ids, starts, end)
+    rules, seq, begin = repair(ids, starts)
     base = int(ids.max(initial=0)) + 1
-    most = base + len(rules)
-    head = _MAGIC + struct.pack("<QQQQ", base, len(rules), len(seq), len(begin))
-    return head + _packed(rules, most) + lengths(rules, base).astype("<u4").tobytes() + _packed(seq, most) + begin.astype("<u8").tobytes()
+    most, long = base + len(rules), lengths(rules, base)
+    head = _MAGIC + struct.pack("<QQQQQ", base, len(rules), len(seq), len(begin), int(long.max(initial=0)))
+    return head + _packed(rules, most) + _packed(long, int(long.max(initial=0)) + 1) + _packed(seq, most) + begin.astype("<u8").tobytes()
 
 
 class Shard:
@@ -233,13 +241,14 @@ class Shard:
     def __init__(self, raw: bytes):
         if raw[:4] != _MAGIC:
             raise ValueError("not a shard file")
-        self.base, n_rules, n_seq, n_docs = struct.unpack_from("<QQQQ", raw, 4)
+        self.base, n_rules, n_seq, n_docs, longest = struct.unpack_from("<QQQQQ", raw, 4)
         kind = "<u2" if self.base + n_rules <= 1 << 16 else "<u4"
-        at, width = 36, int(kind[-1])
+        at, width = 44, int(kind[-1])
         self.rules = np.frombuffer(raw, kind, 2 * n_rules, at).reshape(-1, 2).astype(np.uint32)
         at += 2 * n_rules * width
-        self.lengths = np.frombuffer(raw, "<u4", n_rules, at)
-        at += 4 * n_rules
+        size = "<u2" if longest + 1 <= 1 << 16 else "<u4"
+        self.lengths = np.frombuffer(raw, size, n_rules, at)
+        at += int(size[-1]) * n_rules
         self.seq = np.frombuffer(raw, kind, n_seq, at).astype(np.uint32)
         at += n_seq * width
         self.begin = np.frombuffer(raw, "<u8", n_docs, at).astype(np.int64)
@@ -327,8 +336,9 @@ def write_shards(docs: DataFrame, tokenizer: str, shard: int = SHARD) -> DataFra
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n = partitions(docs.sparkSession)
-    dealt = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
-    files = dealt.mapInArrow(_writer(tokenizer, shard), "part int, shard int, n_ids long, doc_ids array<long>, payload binary")
+    rows = rows.withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
+    dealt = rows.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h").withColumn("part", F.spark_partition_id())
+    files = dealt.select("doc_id", "text", "part").mapInArrow(_writer(tokenizer, shard), "part int, shard int, n_ids long, doc_ids array<long>, payload binary")
     return written(files, "shards")
 
 
@@ -356,11 +366,12 @@ def read_shards(files: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document in the files, decoded from them."""
     from pyspark.sql import Window
 
-    spark = files.sparkSession
-    # A row for each file of about a million ids: the window is over files.
-    order = Window.orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    base = files.select("part", "shard", "n_ids").withColumn("base", F.sum("n_ids").over(order) - F.col("n_ids")).drop("n_ids")
-    rows = files.drop("n_ids").join(base, ["part", "shard"]).repartition(partitions(spark), "part", "shard")
+    # One window over parts, of which there are as many as shuffle partitions; one over the files of each.
+    w = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    parts = files.groupBy("part").agg(F.sum("n_ids").alias("of_part")).select("part", (F.sum("of_part").over(w) - F.col("of_part")).alias("ahead"))
+    w = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    base = files.select("part", "shard", "n_ids").withColumn("upto", F.sum("n_ids").over(w) - F.col("n_ids")).join(F.broadcast(parts), "part")
+    rows = files.drop("n_ids").join(base.select("part", "shard", (F.col("ahead") + F.col("upto")).alias("base")), ["part", "shard"])
     return rows.select("doc_ids", "payload", "base").mapInArrow(_reader, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 
 from furrow.llm import tokens
 
@@ -43,6 +44,7 @@ def test_shard_round_trip_and_random_access(seed):
     s = tokens.Shard(raw)
     got, n = s.all()
     assert np.array_equal(got, ids) and np.array_equal(n, counts) and len(s.rules)
+    assert not recurring(s.seq, s.begin)
     at = 0
     for i, c in enumerate(counts.tolist()):
         assert np.array_equal(s.document(i), ids[at : at + c])
@@ -53,12 +55,48 @@ def test_shard_round_trip_and_random_access(seed):
         s.token(0, int(counts[0]))
 
 
+def recurring(seq, begin):
+    """Pairs of neighbours within a document that occur twice without overlap."""
+    ends = {*(np.append(begin[1:], len(seq)) - 1).tolist()}
+    seen, last = {}, {}
+    for i in range(len(seq) - 1):
+        if i not in ends and last.get((p := (int(seq[i]), int(seq[i + 1])))) != i - 1:
+            seen[p] = seen.get(p, 0) + 1
+            last[p] = i
+    return [p for p, n in seen.items() if n > 1]
+
+
+@pytest.mark.parametrize("times", [2, 3, 12, 2000])
+def test_pairs_are_replaced_until_none_recurs(times):
+    block = np.arange(100, 150, dtype=np.uint32)
+    for docs in (1, times):
+        ids = np.tile(np.append(block, tokens.END) if docs > 1 else block, times).astype(np.uint32)
+        counts = np.full(docs, len(ids) // docs)
+        rules, seq, begin = tokens.repair(ids, np.cumsum(counts) - counts)
+        assert not recurring(seq, begin)
+        assert len(seq) <= (2 * docs if docs > 1 else 60)
+        assert np.array_equal(tokens.Shard(tokens.shard_bytes(ids, counts)).all()[0], ids)
+
+
+def test_one_id_in_a_row_and_long_texts():
+    for n in (1, 2, 3, 4, 5, 1000, 300_001):
+        ids = np.full(n, 7, np.uint32)
+        rules, seq, begin = tokens.repair(ids, np.zeros(1, int))
+        assert not recurring(seq, begin) and len(seq) < 2 + n.bit_length() * 3
+        s = tokens.Shard(tokens.shard_bytes(ids, np.array([n])))
+        assert np.array_equal(s.document(0), ids) and s.token(0, n - 1) == 7
+    text = "a" * 100_000 + " " + "word " * 50_000
+    ids, n = tokens.Encoder(PATH).encode([text])
+    assert ids.tolist() == brute([text])[0]
+
+
 def test_files_hold_all_documents_in_order(spark):
     ts = texts(11)
-    rows = [(i * 3 % 251, t, 1) for i, t in enumerate(ts)] + [(None, "null id", 1), (5, "again", 1), (5, "again", 1)]
+    rows = [(i * 3 % 251, t, 1) for i, t in enumerate(ts)] + [(None, f"also {i}", 1) for i in range(40)] + [(None, "null id", 1), (5, "again", 1), (5, "again", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, start int").repartition(5)
     got = sorted(((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in tokens.read_shards(tokens.write_shards(docs, PATH, 400)).collect()))
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    signed = lambda t: int.from_bytes(xxhash.xxh64_digest((t or "").encode(), 42), "big", signed=True)
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, signed(r[1])))
     want, at = [], 0
     for (doc, _, _), ids in zip(order, brute([r[1] for r in order]), strict=True):
         want.append((at, doc, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
