@@ -7,7 +7,8 @@ links and place. The field has two labels, content and the rest; it is trained o
 the likelihood, on labelled pages that ``labelled()`` composes from many layouts (seeded, ``PAGES``
 of them), and pages are decoded by Viterbi. Content blocks are joined by one space.
 
-Null and empty pages, and pages without content, give the empty text. Nothing is cut or capped. Repeated rows each have
+Null and empty pages, and pages without content, give the empty text; an empty table gives no rows. Nothing is cut or capped,
+in depth, length or attributes: an element's end is found by a list of the open elements of its tag. Repeated rows each have
 their result; ids and urls may be null and are passed through; other columns are ignored.
 """
 
@@ -27,9 +28,10 @@ from pyspark.sql import functions as F
 from furrow.llm.common import emit, small_batches
 
 PAGES, STEPS = 400, 120
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+MATH = "math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle semantics"
+INLINE = frozenset(f"{MATH} a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())  # formulas run on in their sentence
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style noscript template head title svg math select textarea button option iframe object canvas audio video".split())
+SILENT = frozenset("script style noscript template head title svg select textarea button option iframe object canvas audio video annotation annotation-xml".split())
 #: Which open elements a start tag ends, where their end tags may be left out.
 ENDS = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}}
 #: Elements that an implied end does not reach beyond.
@@ -59,6 +61,8 @@ class Blocks(HTMLParser):
         self.found: list[tuple[list[str], str]] = []
         self.open: list[tuple[str, list[str]]] = []
         self.active: dict[str, int] = {}
+        #: Where each tag's open elements are, so that the last one is found however deep it is.
+        self.depth: dict[str, list[int]] = {}
         self.parts: list[str] = []
         self.silent: list[str] = []
         self.links = 0
@@ -78,14 +82,17 @@ class Blocks(HTMLParser):
         names = [f"tag:{tag}"]
         for k, v in attrs:
             if k in ("class", "id", "role") and v:
-                names += [f"name:{w}" for w in _WORD.findall(v[:256].lower())]
+                names += [f"name:{w}" for w in _WORD.findall(v.lower())]
         names = [n for n in set(names) if self.known is None or n in self.known]
         for n in names:
             self.active[n] = self.active.get(n, 0) + 1
+        self.depth.setdefault(tag, []).append(len(self.open))
         self.open.append((tag, names))
 
     def _pop(self) -> None:
-        for n in self.open.pop()[1]:
+        tag, names = self.open.pop()
+        self.depth[tag].pop()
+        for n in names:
             if self.active[n] == 1:
                 del self.active[n]
             else:
@@ -116,14 +123,13 @@ class Blocks(HTMLParser):
             self._close("li", SCOPE)
         self._push(tag, attrs)
 
-    def _close(self, tag: str, scope: frozenset[str]) -> None:
-        for i in range(len(self.open) - 1, max(-1, len(self.open) - 64), -1):
-            if self.open[i][0] == tag:
-                while len(self.open) > i:
-                    self._pop()
-                return
-            if self.open[i][0] in scope:
-                return
+    def _close(self, tag: str, scope: frozenset[str] = frozenset()) -> None:
+        """Ends the last open element of a tag, unless one of ``scope`` is open within it."""
+        at = self.depth.get(tag)
+        if at and not any(self.depth[t][-1] > at[-1] for t in scope if self.depth.get(t)):
+            start = at[-1]
+            while len(self.open) > start:
+                self._pop()
 
     def handle_endtag(self, tag: str) -> None:
         if tag in SILENT:
@@ -137,11 +143,7 @@ class Blocks(HTMLParser):
             return
         self.flush()
         self.links = 0
-        for i in range(len(self.open) - 1, max(-1, len(self.open) - 512), -1):
-            if self.open[i][0] == tag:
-                while len(self.open) > i:
-                    self._pop()
-                return
+        self._close(tag)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in VOID or tag not in SILENT:
@@ -196,17 +198,35 @@ def labelled(r: random.Random) -> tuple[str, list[str]]:
         own = f" {pick(['class', 'class', 'id'])}=\"{pick(names)}\"" if tag in ("div", "section", "ul", "p", "ol") or r.random() < 0.4 else ""
         return f"<{tag}{own}>{inner}</{tag}>"
 
+    def menu(n: int) -> str:
+        """Links of a menu as a list, a table or one line."""
+        kind = r.random()
+        if kind < 0.65:
+            return f"<ul>{links(n)}</ul>"
+        own = [f"<a href='/x'>{say(1, 3)}</a>" for _ in range(n)]
+        return "<table><tr>" + "".join(f"<td>{x}</td>" for x in own) + "</tr></table>" if kind < 0.85 else pick([" | ", " ", " · "]).join(own)
+
+    def sentence(text: str) -> str:
+        """The text with a link or emphasis around some of its words; characters stay."""
+        words = text.split(" ")
+        if len(words) < 3 or r.random() < 0.6:
+            return text
+        i = r.randrange(len(words) - 1)
+        j = r.randint(i + 1, len(words) - 1)
+        tag = pick(["a", "a", "em", "b", "code"])
+        return " ".join([*words[:i], f"<{tag}" + (" href='/y'" if tag == "a" else "") + ">" + " ".join(words[i:j]) + f"</{tag}>", *words[j:]])
+
     def prose(n: int) -> str:
         return "".join(f"<p>{say(1, 70, pick(['.', '.', '!']))}</p>" for _ in range(n))
 
-    nav = lambda: side(["nav", "menu", "main-menu", "navbar", "breadcrumb", "navigation"], ["nav", "nav", "div"], f"<ul>{links(r.randint(2, 8))}</ul>")
+    nav = lambda: side(["nav", "menu", "main-menu", "navbar", "breadcrumb", "navigation"], ["nav", "nav", "div"], menu(r.randint(2, 8)))
     head = lambda: side(["header", "site-header", "masthead", "topbar", "branding"], ["header", "header", "div"], pick([say(1, 6), f"<h1>{say(1, 4)}</h1>", f"<p>{say(2, 12)}</p>", f"<a href='/'>{say(1, 3)}</a>"]))
     foot = lambda: side(["footer", "site-footer", "copyright", "bottom", "legal"], ["footer", "footer", "div"], pick(["&copy; ", ""]) + pick([say(1, 9, "."), f"<p>{say(3, 25, '.')}</p>", f"<ul>{links(4)}</ul>"]))
-    ad = lambda: side(["ad", "ads", "advert", "advertisement", "sponsored", "promo", "ad-banner", "sponsor"], ["div", "aside", "section", "p"], pick([say(1, 30, "."), prose(1), f"<p>{say(2, 9)}</p>"]))
+    ad = lambda: side(["ad", "ads", "advert", "advertisement", "sponsored", "promo", "ad-banner", "sponsor"], ["div", "aside", "section", "p"], pick([say(1, 30, pick([".", "!", ""])), prose(1), f"<p>{say(2, 9)}</p>"]))
     notice = lambda: side(["notice", "cookie", "cookie-notice", "banner", "alert", "consent", "gdpr", "popup", "modal", "overlay", "newsletter", "subscribe"], ["div", "section", "aside"], pick([say(3, 40, "."), prose(1), f"<p>{say(4, 30, '.')} <a href='#'>{say(1, 2)}</a></p>"]))
     bar = lambda: side(["sidebar", "side", "widget", "related", "share", "social", "recommended", "trending", "toc", "tags"], ["aside", "aside", "div", "section"], pick([prose(r.randint(1, 2)), f"<h3>{say(1, 4)}</h3><ul>{links(4)}</ul>", f"<h2>{say(1, 3)}</h2><p>{say(3, 30, '.')}</p>"]))
     form = lambda: side(["form", "search", "login", "signup"], ["form", "form", "div"], f"<label>{say(1, 4)}</label><input><p>{say(1, 12)}</p><button>{say(1, 2)}</button>")
-    talk = lambda: side(["comments", "comment-list", "comment", "replies", "discussion", "respond", "disqus"], ["section", "div", "ol"], f"<h3>{say(1, 3)}</h3>" * r.randint(0, 1) + "".join(f"<{(t := pick(['div', 'li', 'article']))} class='comment'><p>{say(2, 50, '.')}</p></{t}>" for _ in range(r.randint(1, 4))))
+    talk = lambda: side(["comments", "comment-list", "comment", "replies", "discussion", "respond", "disqus", "disqus_thread", "comments-area", "reader-comments"], ["section", "div", "ol"], f"<h3>{say(1, 3)}</h3>" * r.randint(0, 1) + "".join(pick([f"<div class='comment'><p>{say(2, 50, '.')}</p></div>", f"<li class='comment'><p>{say(2, 50, '.')}</p></li>", f"<article class='comment'><p>{say(2, 50, '.')}</p></article>", f"<p>{say(2, 50, '.')}</p>", f"<div>{say(2, 30, '.')}</div>"]) for _ in range(r.randint(1, 4))))
 
     def body() -> str:
         parts = [f"<h1>{keep(say(1, 9, pick(['', '.'])))}</h1>"] if r.random() < 0.85 else []
@@ -214,39 +234,42 @@ def labelled(r: random.Random) -> tuple[str, list[str]]:
             kind = r.random()
             if kind < 0.72:
                 t = keep(say(1, pick([4, 20, 90]), pick([".", ".", "!", ""])))
-                parts.append(pick([f"<p>{t}</p>", f"<p>{t}</p>", f"<p>{t}", f"<p><b>{t}<br>", f"<div>{t}</div>"]))
+                t = sentence(t)
+                parts.append(pick([f"<p>{t}</p>", f"<p>{t}</p>", f"<p class='{pick(['lead', 'first', 'x', 'indent'])}'>{t}</p>", f"<p>{t}", f"<p><b>{t}</b><br>", f"<div>{t}</div>"]))
             elif kind < 0.8:
                 parts.append(f"<h2>{keep(say(1, 6))}</h2>")
             elif kind < 0.87:
                 parts.append("<ul>" + "".join(f"<li>{keep(say(1, 12))}</li>" for _ in range(r.randint(1, 4))) + "</ul>")
             elif kind < 0.91:
                 parts.append(f"<blockquote>{keep(say(3, 30, '.'))}</blockquote>")
-            elif kind < 0.94:
+            elif kind < 0.93:
                 parts.append(f"<table><tr><td>{keep(say(1, 4))}</td><td>{keep(say(1, 4))}</td></tr></table>")
             else:
                 parts.append(pick([ad, bar, notice, form])())
         return "".join(parts)
 
-    before = [f() for f in (nav, head, ad, notice, bar, form) if r.random() < 0.5]
+    much = r.choice([0.15, 0.5, 0.5])
+    before = [f() for f in (nav, head, ad, notice, bar, form) if r.random() < much]
     r.shuffle(before)
     wrap = r.random()
-    if wrap < 0.5:
+    if wrap < 0.45:
         own = f"<article>{body()}</article>"
-    elif wrap < 0.65:
+    elif wrap < 0.58:
         own = f"<main>{body()}</main>"
-    elif wrap < 0.92:
+    elif wrap < 0.84:
         own = f"<div {pick(['class', 'id'])}=\"{pick(['content', 'post', 'entry', 'article', 'story', 'main', 'article-body', 'post-content', 'text', 'body'])}\">{body()}</div>"
     else:
         own = body()
-    if r.random() < 0.2 and wrap < 0.5:
+    if r.random() < 0.2 and wrap < 0.45:
         own = f"<main>{own}</main>"
     if r.random() < 0.25 and own.endswith("</article>"):
         own = own[: -len("</article>")] + talk() + "</article>"
-    after = [f() for f in (talk, bar, ad, form, notice, foot, foot) if r.random() < 0.4]
+    after = [f() for f in (talk, bar, ad, form, notice, foot, foot) if r.random() < 0.8 * much]
     inner = "".join(before) + own + "".join(after)
     if r.random() < 0.3:
         inner = f"<div class=\"{pick(['page', 'wrapper', 'container', 'site'])}\">{inner}</div>"
-    return f"<html><head><title>{say(1, 5)}</title><script>x='<p>'</script></head><body>{inner}</body></html>", kept
+    top = f"<head><title>{say(1, 5)}</title>{pick(['', '<style>p {}</style>', '<script>let x = 1;</script>'])}</head>" if r.random() < 0.8 else ""
+    return f"<html>{top}<body>{inner}</body></html>", kept
 
 
 # The field
