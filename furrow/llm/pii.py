@@ -1,18 +1,21 @@
 """Personal data: base patterns, and contextual extraction that bootstraps from them.
 
 Base: the leftmost matches of each kind that don't overlap, dropped (not retried) where the digits, the
-parts or the Luhn sum fail. Every match, and every other token with a digit, an @ or an (at) in it
-(a candidate), is an occurrence of an instance (its text) in a lexical pattern (the two words before it, lower-cased).
+parts or the Luhn sum fail. Every match, and every other token of four characters or more with a digit, an @ or an (at) in it
+(a candidate), is an occurrence of an instance (its text) in a lexical pattern: the two words before it, lower-cased (``^`` where the
+text begins; of a word of more than ``WORD`` characters its end, and then no word before it).
 A run of digits with spaces and the other separators of ``SHAPE`` that looks like a card or a phone is one candidate in
 place of its tokens. Seeds are the instances of the base patterns. Patterns and instances make a graph that Spark scores in turn:
 a pattern's confidence for a kind is the mean confidence of its distinct instances (others count 0), with at least
-``SUPPORT`` distinct instances among them that are seeds of the kind or look like it and were believed in the round
-before; an instance's is 1 - prod(1 - confidence of its patterns) and 1 for seeds. After ``ROUNDS`` rounds, candidates whose own pattern has at least
-``CONFIDENT`` and that look like the kind (``SHAPE``) become spans, unless they touch a base span.
-
-Null texts count as empty. Offsets are code points, ends exclusive. Repeated rows each have their own (equal)
-result; repeated or null ids are told apart by the text's hash. Counts and the digest are of the base
-spans; ``spans`` holds all. Other columns are ignored.
+``SUPPORT`` distinct instances among them that are seeds of the kind or were found: they look like it and were believed in the round
+before. An instance's is 1 - prod(1 - confidence of its patterns) and 1 for seeds; below one half it is a doubt and counts 0. So found
+identifiers induce patterns that no seed is in, and these find others. Confidences only rise, and rounds end when no pattern
+is new and none has risen by ``STEP``. Then candidates whose own pattern has at least ``CONFIDENT`` and that look like the
+kind become spans, unless they touch a base span.
+
+Null texts count as empty. Texts may be of any length: an occurrence is read with its context alone. Offsets are code points, ends
+exclusive. Repeated rows each have their own (equal) result; repeated or null ids are told apart by the text's hash. Counts and the
+digest are of the base spans; ``spans`` holds all. An empty table gives no rows. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -25,10 +28,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm.common import documents, emit, joined, sliced, small_batches, written
+from furrow.llm.common import documents, dropped, emit, joined, sliced, small_batches, written
 
 KINDS = ("email", "ip", "card", "phone")
-SUPPORT, CONFIDENT, ROUNDS, WORDS = 5, 0.8, 3, 2
+SUPPORT, CONFIDENT, STEP = 5, 0.8, 0.01
+WORDS, WORD = 2, 64
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 #: No match can begin inside a run of digits where none begins at its start; so each run is read once.
@@ -40,13 +44,14 @@ _TOKEN = re.compile(r"(?<!\S)(?:[^\s0-9@(\[]|[(\[](?!at[)\]]))*+[0-9@(\[]\S*+")
 _RUN = re.compile(r"(?<![\w@])\(?[0-9](?:[\x20()./-]{0,2}+[0-9])*+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _EDGE = "\"'()[]{}<>,;:!?."
-#: What a candidate of each kind must look like at the least (instances are in lower case).
+_QUOTES = "\"'()"
+#: What a candidate must look like at the least, beside e-mail addresses (see shapes()).
 SHAPE = {
-    "email": r"^[^\s@]+(@|\(at\)|\[at\])[^\s@]+$",
     "ip": r"^[0-9]{1,3}([.,:-][0-9]{1,3}){3,}$",
     "card": r"^[0-9]([ ./-]?[0-9]){11,18}$",
     "phone": r"^\(?[0-9]([ ()./-]{0,2}[0-9]){5,14}$",
 }
+_SHAPES = {k: re.compile(v) for k, v in SHAPE.items()}
 _SPACED = re.compile(f"{SHAPE['card']}|{SHAPE['phone']}")
 
 
@@ -106,8 +111,45 @@ def spaced_runs(text: str) -> Iterator[tuple[int, int]]:
             yield a, b
 
 
-def occurrences(text: str | None, base: list[tuple[str, int, int]]) -> list[tuple[str, str, str | None, int, int]]:
-    """(pattern, instance, kind or None, start, end) of the base spans and the candidates of a text."""
+def context(text: str, at: int) -> str:
+    """The pattern that what starts at ``at`` occurs in."""
+    reach = 3 * WORD
+    while True:
+        low = max(0, at - reach)
+        words = text[low:at].rstrip(_QUOTES).split()
+        # The first word may go on to the left of what is read; that doesn't matter if it is long already.
+        if not low or len(words) > WORDS or any(len(w) > WORD for w in words[-WORDS:]):
+            break
+        reach *= 2
+    out: list[str] = []
+    for w in reversed(words[-WORDS:]):
+        out.append(w if len(w) <= WORD else w[-WORD:])
+        if len(w) > WORD:
+            break
+    else:
+        out += ["^"] * (WORDS - len(out))
+    return " ".join(reversed(out)).lower()
+
+
+def instance(found: str) -> str:
+    """A name for the identifier: itself in lower case, or a digest of a long one."""
+    found = found.lower()
+    return found if len(found) <= WORD else "#" + hashlib.blake2b(found.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
+def shapes(found: str) -> str:
+    """The kinds that it looks like, each followed by a space."""
+    found = found.lower()
+    # One @, or none and an (at), with something on both sides: linear where a pattern would try them all.
+    if "@" in found:
+        mail = found.count("@") == 1 and "@" not in (found[0], found[-1])
+    else:
+        mail = any(0 < found.find(at, 1) < len(found) - len(at) for at in ("(at)", "[at]"))
+    return "email " * mail + "".join(f"{k} " for k, shape in _SHAPES.items() if shape.match(found))
+
+
+def occurrences(text: str | None, base: list[tuple[str, int, int]]) -> list[tuple[str, str, str, str | None, int, int]]:
+    """(pattern, instance, shapes, kind or None, start, end) of the base spans and the candidates of a text."""
     text = text or ""
     found = [(a, b, k) for k, a, b in base]
     taken = sorted((a, b) for a, b, _ in found)
@@ -125,24 +167,21 @@ def occurrences(text: str | None, base: list[tuple[str, int, int]]) -> list[tupl
         b = m.end() - (len(raw) - len(raw.rstrip(_EDGE)))
         while i < len(taken) and taken[i][1] <= m.start():
             i += 1
-        if b - a >= 4 and b - a <= 128 and not (i < len(taken) and taken[i][0] < m.end()):
+        if b - a >= 4 and not (i < len(taken) and taken[i][0] < m.end()):
             found.append((a, b, None))
-    out = []
-    for a, b, k in found:
-        before = text[max(0, a - 96) : a].lower().rstrip(_EDGE[:4] + "\"'")
-        words = before.split()[-WORDS:]
-        if len(words) == WORDS and sum(map(len, words)) <= 64:
-            out.append((" ".join(words), text[a:b].lower(), k, a, b))
-    return out
+    return [(context(text, a), instance(text[a:b]), f"{k} " if k else shapes(text[a:b]), k, a, b) for a, b, k in found]
+
+
+_SEEN = ("pattern", "instance", "shapes", "kind", "start", "end")
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    item = pa.struct([("pattern", pa.string()), ("instance", pa.string()), ("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
+    item = pa.struct([(n, pa.int64() if n in ("start", "end") else pa.string()) for n in _SEEN])
     for b in sliced(batches):
         base, seen = [], []
         for t in b.column("text").to_pylist():
             base.append(base_spans(t))
-            seen.append([dict(zip(("pattern", "instance", "kind", "start", "end"), o, strict=True)) for o in occurrences(t, base[-1])])
+            seen.append([dict(zip(_SEEN, o, strict=True)) for o in occurrences(t, base[-1])])
         counts = {f"n_{k}": pa.array([sum(1 for s in x if s[0] == k) for x in base], pa.int64()) for k in KINDS}
         text = [joined_spans(x) for x in base]
         sha = [hashlib.sha256(x.encode()).hexdigest() for x in text]
@@ -156,49 +195,51 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 SCANNED = (
     "doc_id long, text_hash long, "
     + ", ".join(f"n_{k} long" for k in KINDS)
-    + ", base_sha256 string, base string, seen array<struct<pattern: string, instance: string, kind: string, start: long, end: long>>"
+    + ", base_sha256 string, base string, seen array<struct<pattern: string, instance: string, shapes: string, kind: string, start: long, end: long>>"
 )
 
 
 def scanned(docs: DataFrame) -> DataFrame:
     """Base spans and occurrences of every row, written to the shared folder."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_hash"), F.col("text").cast("string").alias("text"))
     return written(rows.mapInArrow(_scan, SCANNED), "pii")
 
 
-def patterns(seen: DataFrame, support: int = SUPPORT, confident: float = CONFIDENT, rounds: int = ROUNDS) -> DataFrame:
-    """(pattern, kind, confidence) of the patterns that qualify; seen: pattern, instance, kind of occurrences."""
-    edges = written(seen.groupBy("pattern", "instance").agg(F.max("kind").alias("kind")), "edges")
+def patterns(seen: DataFrame, support: int = SUPPORT, confident: float = CONFIDENT) -> DataFrame:
+    """(pattern, kind, confidence) of the patterns that qualify; seen: pattern, instance, shapes, kind of occurrences."""
+    edges = seen.groupBy("pattern", "instance").agg(F.max("kind").alias("kind"), F.max("shapes").alias("shapes"))
+    edges = written(edges, "edges")
     # A seed anywhere is a seed everywhere.
     seeds = edges.where("kind is not null").groupBy("instance").agg(F.max("kind").alias("target")).withColumns({"belief": F.lit(1.0), "found": F.lit(True)})
-    edges = edges.drop("kind")
     sizes = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("size"))
-    known = seeds
-    for left in range(rounds, -1, -1):
-        votes = joined(edges, known, ["instance"]).groupBy("pattern", "target").agg(F.sum("belief").alias("belief"), F.count_if("found").alias("n")).where(F.col("n") >= support)
+    known, before = seeds, None
+    while True:
+        votes = joined(edges.drop("kind", "shapes"), known, ["instance"]).groupBy("pattern", "target").agg(F.sum("belief").alias("belief"), F.count_if("found").alias("n")).where(F.col("n") >= support)
         scores = written(joined(votes, sizes, ["pattern"]).select("pattern", "target", (F.col("belief") / F.col("size")).alias("confidence")), "scores")
-        if not left:
-            break
-        told = joined(edges, scores, ["pattern"]).groupBy("instance", "target").agg((1 - F.exp(F.sum(F.log1p(-F.least(F.col("confidence"), F.lit(0.999999)))))).alias("belief"))
+        if before is None:
+            risen = not scores.isEmpty()
+        else:
+            risen = not joined(scores, before.withColumnRenamed("confidence", "was"), ["pattern", "target"], "left").where((F.col("confidence") - F.coalesce("was", F.lit(-1.0))) >= STEP).isEmpty()
+            dropped(before)
+        if not risen:
+            return scores.where(F.col("confidence") >= confident).select("pattern", F.col("target").alias("kind"), "confidence")
+        before = scores
+        told = joined(edges, scores, ["pattern"]).groupBy("instance", "target").agg((1 - F.exp(F.sum(F.log1p(-F.least(F.col("confidence"), F.lit(0.999999)))))).alias("belief"), F.max(_shaped("target")).alias("found"))
         # Beliefs below one half are doubts, not evidence.
-        told = told.where(F.col("belief") >= 0.5).withColumn("found", _shaped("target")).unionByName(seeds)
+        told = told.where(F.col("belief") >= 0.5).select("instance", "target", "belief", "found").unionByName(seeds)
         known = told.groupBy("instance", "target").agg(F.max("belief").alias("belief"), F.max("found").alias("found"))
-    return scores.where(F.col("confidence") >= confident).select("pattern", F.col("target").alias("kind"), "confidence")
 
 
-def _shaped(column: str = "kind") -> Column:
-    out = F.lit(False)
-    for kind, shape in SHAPE.items():
-        out = out | ((F.col(column) == kind) & F.col("instance").rlike(shape))
-    return out
+def _shaped(kind: str = "kind") -> Column:
+    return F.contains(F.col("shapes"), F.concat(F.col(kind), F.lit(" ")))
 
 
 def extracted(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, the base counts and digest, and all spans of every row."""
     rows = scanned(docs)
     seen = rows.select("doc_id", "text_hash", F.inline("seen"))
-    good = patterns(seen.select("pattern", "instance", "kind"))
+    good = patterns(seen.select("pattern", "instance", "shapes", "kind"))
     new = joined(seen.where("kind is null").drop("kind"), good, ["pattern"]).where(_shaped())
     best = new.groupBy("doc_id", "text_hash", "start", "end").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"))
     added = best.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("kind", "start", "end")).alias("added"))
@@ -215,27 +256,32 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extracted(documents(spark, sf_dir)).drop("text_hash")
 
 
-def _masker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in sliced(batches):
-        out = []
-        for t, spans in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True):
-            if t and spans:
-                cut = sorted((int(a), int(e), k) for k, a, e in (s.split(":") for s in spans.split(",")))
-                parts, at = [], 0
-                for a, e, k in cut:
-                    if a >= at:
-                        parts += [t[at:a], f"<{k}>"]
-                    at = max(at, e)
-                t = "".join(parts) + t[at:]
-            out.append(t)
-        yield emit({n: pa.array(out, pa.string()) if n == "text" else b.column(n) for n in b.schema.names if n != "spans"})
+def _masker(name: str):
+    def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            out = []
+            for t, spans in zip(b.column("text").to_pylist(), b.column(name).to_pylist(), strict=True):
+                if t and spans:
+                    cut = sorted((int(a), int(e), k) for k, a, e in (s.split(":") for s in spans.split(",")))
+                    parts, at = [], 0
+                    for a, e, k in cut:
+                        if a >= at:
+                            parts += [t[at:a], f"<{k}>"]
+                        at = max(at, e)
+                    t = "".join(parts) + t[at:]
+                out.append(t)
+            yield emit({n: pa.array(out, pa.string()) if n == "text" else b.column(n) for n in b.schema.names if n != name})
+
+    return mask
 
 
 def masked(docs: DataFrame) -> DataFrame:
     """``docs``, every column, with each span of text replaced by its kind in angle brackets; where spans of
     two kinds overlap, the union goes and the first kind is named."""
-    found = extracted(docs).select("doc_id", "text_hash", "spans").where("spans <> ''").distinct()
-    keyed = docs.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    got = joined(keyed, found, ["doc_id", "text_hash"], "left").select(*docs.columns, "spans")
+    # Names that no column of the caller's has.
+    free = "_" * max((len(c) - len(c.lstrip("_")) + 1 for c in docs.columns), default=1)
+    found = extracted(docs).where("spans <> ''").select(F.col("doc_id").alias(free + "doc"), F.col("text_hash").alias(free + "hash"), F.col("spans").alias(free + "spans")).distinct()
+    keyed = docs.withColumns({free + "doc": F.col("doc_id").cast("long"), free + "hash": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
+    got = joined(keyed, found, [free + "doc", free + "hash"], "left").select(*[F.col(f"`{c}`") for c in docs.columns], free + "spans")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return got.mapInArrow(_masker, schema)
+    return got.mapInArrow(_masker(free + "spans"), schema)

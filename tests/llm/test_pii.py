@@ -80,9 +80,9 @@ def test_identifiers_with_spaces_are_one_candidate():
         ("a b 0314 555 6532x", None),
         ("on the 12 34 of", None),
     ):
-        got = [o for o in pii.occurrences(text, pii.base_spans(text)) if o[2] is None and " " in o[1]]
-        assert [(o[1], text[o[3] : o[4]].lower()) for o in got] == ([(own, own)] if own else []), text
-        spans = sorted(o[3:] for o in pii.occurrences(text, pii.base_spans(text)))
+        got = [o for o in pii.occurrences(text, pii.base_spans(text)) if o[3] is None and " " in o[1]]
+        assert [(o[1], text[o[4] : o[5]].lower()) for o in got] == ([(own, own)] if own else []), text
+        spans = sorted(o[4:] for o in pii.occurrences(text, pii.base_spans(text)))
         assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
 
 
@@ -99,3 +99,42 @@ def test_spaced_identifiers_are_masked_and_found_ones_induce_patterns(spark):
     out = [r.text for r in pii.masked(docs).orderBy("doc_id").collect()]
     assert out[:18] == ["just call me <phone> now"] * 18
     assert out[18:] == ["the tel number <phone> is"] * 7 + texts[-1:]
+
+
+def test_no_occurrence_is_left_out_for_its_length():
+    long = "x" * 120 + "1(at)example.org"
+    word = "w" * 80
+    for text in (f"write to {long} now", f"{word} {word} mail@example.org now", "mail@example.org", f"a b{' ' * 500}mail@example.org", f"{word}:mail@example.org"):
+        assert len(pii.occurrences(text, pii.base_spans(text))) == 1, text
+    pattern = lambda t: pii.occurrences(t, pii.base_spans(t))[0][0]
+    assert pattern("Send it, please: mail@example.org") == "it, please:"
+    assert pattern("mail@example.org") == "^ ^" and pattern("to mail@example.org") == "^ to"
+    assert pattern(f"to {word} mail@example.org") == "w" * 64 and pattern(f"{word} to mail@example.org") == "w" * 64 + " to"
+    assert pattern(f"a b{' ' * 500}mail@example.org") == "a b"
+    for t in ("(at)" * 100_000, "a(at)" * 100_000 + "@x@", "é@" * 100_000, "x@y.z," * 50_000, " " * 300_000 + "x@y.z"):
+        pii.occurrences(t, pii.base_spans(t))
+
+
+def test_each_round_adds_patterns_until_none_is_new(spark):
+    """Seeds induce the first pattern; what it finds induces the second, that the third, that the fourth."""
+    name = lambda k, i: f"{k}{i}(at)example.org"
+    texts = [f"mail me at s{i}@example.org now" for i in range(30)] + [f"mail me at {name('a', i)} now" for i in range(6)]
+    texts += [f"write us via {name('a', i)} now" for i in range(6)] + [f"write us via {name('b', i)} now" for i in range(1)]
+    for k, before, then in (("c", "a", "reach them under"), ("d", "c", "she answers from"), ("e", "d", "post goes through")):
+        old = [f"{then} {name(before, i)} now" for i in range(6)]
+        # Five that are found in this pattern only carry the next one.
+        texts += old + [f"{then} {name(k, 0)} now"]
+        texts += [f"{then} {name(k, i)} now" for i in range(1, 2)] + [f"mail me at {name(k, i)} now" for i in range(2, 6)]
+    texts += ["elsewhere we saw z9(at)example.org now"]
+    docs = rows(spark, texts)
+    out = [r.text for r in pii.masked(docs).orderBy("doc_id").collect()]
+    assert all("<email>" in t and "(at)" not in t for t in out[:-1]) and out[-1] == texts[-1]
+
+
+def test_clashing_names_and_long_texts(spark):
+    text = "call +1 314 555 6532 now " + "word " * 200_000 + "ip 10.0.0.1"
+    docs = spark.createDataFrame([(1, text, "a", 5, "b", "k"), (1, "other", None, None, None, None)], "doc_id long, text string, spans string, text_hash int, _doc string, kind string")
+    got = {r.spans: r for r in pii.masked(docs).collect()}
+    assert len(got) == 2 and got["a"].text_hash == 5 and got["a"]._doc == "b" and got["a"].kind == "k"
+    assert got["a"].text == "call <phone> now " + "word " * 200_000 + "ip <ip>" and got[None].text == "other"
+    assert pii.masked(docs).columns == docs.columns and pii.masked(docs.limit(0)).count() == 0
