@@ -9,10 +9,13 @@ best total is than the second. A margin under ``MARGIN`` is narrow: the text isn
 Trained on at most ``SAMPLE`` documents a language (the first by a hash of doc_id, 200 to 8,192
 characters long) whose crc32(doc_id as text) mod 4 is not 2, whose lang is not null and that have a letter; only text and
 lang are learned from. A language with fewer of them is filled up with its other texts: of longer ones the first 8,192
-letters count as a document, and shorter ones count by their length, 200 characters a document.
+letters count as a document, and shorter ones count by their length, 200 characters a document. Of a language's sample the last
+``DICTIONARY`` bytes, with its first documents at the end, are the dictionary. At most ``LANGUAGES`` languages are learned, those with
+the most labelled documents.
 With no such document every prediction is ``und``. Texts that are null or
-have no letter are ``und`` with score 0 and are not accepted. Null ids are never held out and never trained on.
-Every row, repeated or not, has its own result; other columns are ignored.
+have no letter (numerals such as fractions aren't letters) are ``und`` with score 0 and are not accepted. Texts are predicted whole, however
+long. Null ids are never held out and never trained on. Every row, repeated or not, has its own result, an empty table none; other
+columns are ignored, and of columns that are passed on, those called lang_pred, score, margin or accepted give way to the results.
 """
 
 from __future__ import annotations
@@ -30,10 +33,13 @@ from furrow.llm.common import documents, emit, sliced, small_batches
 
 SAMPLE, DICTIONARY, PIECE, LEVEL = 48, 110_000, 1024, 6
 SCALE, MARGIN = 8.0, 0.005
+LANGUAGES = 512
 #: Characters of a text of usual length.
 SHORT, LONG = 200, 8192
 UNKNOWN = "und"
-_OTHER = re.compile(r"[\W\d_]+")
+#: Numerals that aren't digits: they count as word characters, but aren't letters.
+_NUMERALS = "".join(c for c in map(chr, range(128, 0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_OTHER = re.compile(rf"[\W\d_{_NUMERALS}]+")
 
 
 def letters(text: str) -> bytes:
@@ -47,7 +53,10 @@ def held_out() -> Column:
 
 def sample(docs: DataFrame, size: int = SAMPLE) -> DataFrame:
     """(lang, text) of at most ``size`` documents a language."""
-    named = docs.where(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    named = docs.where(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
+    # A row a language, LANGUAGES at most: bounded.
+    most = named.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "lang").limit(LANGUAGES).select(F.col("lang").alias("_most"))
+    named = named.where(F.col("text").rlike(r"\p{L}")).join(F.broadcast(most), F.col("lang") == F.col("_most"), "left_semi")
     able = named.where(F.length("text").between(SHORT, LONG))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = able.select("doc_id", "lang").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= size)
@@ -63,7 +72,7 @@ def _filling(named: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     other = named.where(~F.length("text").between(SHORT, LONG)).join(F.broadcast(have), "lang", "left")
     other = other.withColumn("have", F.coalesce("have", F.lit(0))).where(F.col("have") < size)
     # Letters alone, as in letters(), before a long text is cut: its first characters may have none.
-    text = F.substring(F.regexp_replace("text", r"[^\p{L}\p{Nl}\p{No}]+", " "), 1, LONG)
+    text = F.substring(F.regexp_replace("text", r"[^\p{L}]+", " "), 1, LONG)
     other = other.select("doc_id", "lang", "have", text.alias("text"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     share = F.least(F.length("text") / SHORT, F.lit(1.0))
@@ -126,6 +135,7 @@ def _predictor(model: dict[str, bytes]):
 def identified(docs: DataFrame, model: dict[str, bytes], keep: list[str]) -> DataFrame:
     """The columns ``keep`` of ``docs`` (text among them or not), with lang_pred, score, margin and accepted."""
     small_batches(docs.sparkSession)
+    keep = [k for k in keep if k not in ("lang_pred", "score", "margin", "accepted")]
     rows = docs.select(*keep, *([] if "text" in keep else [F.col("text").cast("string").alias("text")]))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "lang_pred string, score double, margin double"])
     out = rows.mapInArrow(_predictor(model), schema).withColumn("accepted", F.col("margin") >= MARGIN)

@@ -3,15 +3,15 @@
 Sources by code point, the null source last, weigh 1, 2, 3 and so on in turn and share the budget,
 which is the size of all documents (size: words between ASCII white space; null text: 0). A target stops at
 ``REPEATS`` times its source's size and the excess is shared again by weight. Each source's documents,
-shuffled by a hash of their id, queue up to ``REPEATS`` times over; a copy's virtual finish time is
+shuffled by a hash of their id and text, queue up to ``REPEATS`` times over; a copy's virtual finish time is
 the source's words up to its end, divided by the target. All copies are sorted by finish time
 (ties: source, hash, id, round) and taken while their running total is within the budget.
 
 No sort is global and no source is one task: running sums are kept by slices of the hash within a source, and
 the order by finish time needs only the totals of its ranges, and rows in order in the one range where the
 budget ends. Reruns agree: rows that tie in everything are alike. Documents of size zero are
-taken like others and add nothing. Null ids and sources, repeated rows and empty tables are
-allowed; other columns are kept out.
+taken like others and add nothing. Texts of any length, null ids and sources, repeated rows and empty tables (no rows) are
+allowed; other columns, whatever their names, are kept out. Tables with a row for each source are small beside the documents.
 """
 
 from __future__ import annotations
@@ -28,12 +28,15 @@ RANGES, FAR = 4096, 4
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, h) of every row; h orders the documents at random."""
+    """(doc_id, source, size, h, text_hash) of every row; h orders the documents at random. It hangs on the text too, so that rows
+    of one id, or of none, are spread like others."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"),
-        F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).alias("h"),
+        F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.md5(text))).alias("h"),
+        F.xxhash64(text).alias("text_hash"),
     )
 
 
@@ -57,7 +60,7 @@ def targets(sources: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, h, size, source_size, target, copies, taken) of every row of ``docs``."""
+    """(doc_id, text_hash, source, h, size, source_size, target, copies, taken) of every row of ``docs``."""
     rows = written(sized(docs).withColumn("slice", F.substring("h", 1, 3)), "sized")
     slices = rows.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
     sources = targets(slices.groupBy("source").agg(F.sum("slice_size").alias("source_size")))
@@ -68,7 +71,7 @@ def mixed(docs: DataFrame) -> DataFrame:
     placed = rows.withColumn("within", F.sum("size").over(w))
     placed = placed.withColumn("nth", F.row_number().over(Window.partitionBy("source", "slice").orderBy("h", "doc_id")))
     at = joined(placed, ahead, ["source", "slice"])
-    at = at.select("source", "slice", "nth", "h", "doc_id", "size", "source_size", "total", "target", (F.col("ahead") + F.col("within")).alias("end"))
+    at = at.select("source", "slice", "nth", "h", "doc_id", "text_hash", "size", "source_size", "total", "target", (F.col("ahead") + F.col("within")).alias("end"))
     at = written(at, "queued")
     copies = at.select("source", "slice", "nth", "h", "doc_id", "size", "source_size", "total", "target", "end", F.explode(F.sequence(F.lit(0), F.lit(REPEATS - 1))).alias("round"))
     finish = F.coalesce(F.try_divide((F.col("end") + F.col("round") * F.col("source_size")).cast("double"), F.col("target")), F.lit(0.0))
@@ -86,7 +89,7 @@ def mixed(docs: DataFrame) -> DataFrame:
     got = inside.unionByName(edge).groupBy("source", "slice", "nth").agg(F.count(F.lit(1)).alias("copies"))
     out = joined(at, got, ["source", "slice", "nth"], "left")
     return out.select(
-        "doc_id", "source", "h", "size", "source_size", "target", F.coalesce("copies", F.lit(0)).alias("copies"), (F.coalesce("copies", F.lit(0)) * F.col("size")).alias("taken")
+        "doc_id", "text_hash", "source", "h", "size", "source_size", "target", F.coalesce("copies", F.lit(0)).alias("copies"), (F.coalesce("copies", F.lit(0)) * F.col("size")).alias("taken")
     )
 
 
@@ -97,7 +100,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h
+         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, ''))) AS h
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 r AS (SELECT *, (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS weight, 3 * source_size AS cap,

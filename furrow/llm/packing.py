@@ -2,15 +2,16 @@
 
 A document's size is its words between ASCII white space. A document of more than ``CAPACITY`` words fills
 sequences of its own, piece by piece, and its last piece is packed like a short document. Documents
-are dealt out at random to shards of about ``SHARD`` rows; in a shard, by falling size, each goes to the
+are dealt out at random, by a hash of id and text, to shards of about ``SHARD`` rows (a shard that comes out more than twice as large, as
+equal rows make it, is packed in parts); in a shard, by falling size, each goes to the
 fullest bin it fits into that holds nothing of its source and nothing of its duplicate cluster (texts that are
 equal after lower-casing and collapsing white space). Bins are kept in order of what they have left;
 each carries a bitmap of its sources and one of its clusters, and the search runs on through the
 successors until a bin is compatible; if none is, a bin is opened. No document is dropped.
 
 Null sources conflict with nothing; null and empty texts have size zero, belong to no cluster and take
-a place of length zero. Repeated rows are separate documents of one cluster. Null ids are allowed; ties
-fall by hash and id, so reruns agree. The caller's other columns are left out.
+a place of length zero. Texts may be of any length, and an empty table gives no rows. Repeated rows are separate documents of one cluster.
+Null ids are allowed; ties fall by hash and id, so reruns agree. The caller's other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm.common import column, documents, emit, groups, partitions
+from furrow.llm.common import chunked, column, documents, emit, partitions
 
 CAPACITY = 2048
 SHARD = 2048
@@ -86,9 +87,11 @@ def pack(items: Iterable[tuple[int, object, object]], capacity: int = CAPACITY)
     return out, bins.left
 
 
-def _packer(capacity: int):
+def _packer(capacity: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (shard,), parts in groups(batches, ["shard"]):
+        last, used = None, 0  # bins of a shard's earlier parts
+        for (shard,), parts in chunked(batches, ["shard"], lambda _: most):
+            last, used = shard, used if shard == last else 0
             rows = pa.Table.from_batches(parts)
             size, source, cluster = column(parts, "size").tolist(), rows["source"].to_pylist(), rows["cluster"].to_pylist()
             placed, left = pack(zip(size, source, cluster, strict=True), capacity)
@@ -100,23 +103,25 @@ def _packer(capacity: int):
                     "piece": pa.array(piece, pa.int64()),
                     "start": pa.array([k * capacity for k in piece], pa.int64()),
                     "length": pa.array(length, pa.int64()),
-                    "bin_id": pa.array([(int(shard) << 32) + x for x in b], pa.int64()),
+                    "bin_id": pa.array([(int(shard) << 32) + used + x for x in b], pa.int64()),
                     "position": pa.array(position, pa.int64()),
                     "bin_free": pa.array([left[x] for x in b], pa.int64()),
                 }
             )
+            used += len(left)
 
     return run
 
 
 def items(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, cluster) of every row."""
+    """(doc_id, source, size, cluster, h) of every row."""
     plain = F.trim(F.regexp_replace(F.lower("text"), r"\s+", " "))
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"),
         F.when(F.length(plain) > 0, F.xxhash64(plain)).alias("cluster"),
+        F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(8)).alias("h"),
     )
 
 
@@ -124,10 +129,9 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> Dat
     """One row for each piece of every document: its bin, its position there and what the bin has left."""
     spark = docs.sparkSession
     n = max(1, -(-docs.count() // shard))
-    rows = items(docs).withColumn("h", F.xxhash64(F.col("doc_id"), F.lit(8)))
-    rows = rows.withColumn("shard", F.pmod("h", F.lit(n)))
+    rows = items(docs).withColumn("shard", F.pmod("h", F.lit(n)))
     dealt = rows.repartition(max(1, min(partitions(spark), n)), "shard").sortWithinPartitions("shard", "h", "doc_id", "source", "size", "cluster")
-    return dealt.mapInArrow(_packer(capacity), SCHEMA)
+    return dealt.mapInArrow(_packer(capacity, 2 * shard), SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ again by two segments, the second with at most one bit changed, which is the cha
 
 Null texts count as empty; texts without words have fingerprint zero and are linked like others.
 Repeated rows, ids or texts are separate documents; null ids take part, but never name a component
-unless all ids of it are null. More columns, whatever their names, are ignored.
+unless all ids of it are null. Texts may be of any length; an empty table gives no rows. More columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm.common import column, components, documents, emit, groups, partitions, sliced, small_batches, written
+from furrow.llm.common import column, components, documents, emit, groups, partitions, roots, sliced, small_batches, written
 
 WORDS, SEED, DISTANCE = 4, 42, 4
 #: Widths of the segments, from the lowest bit.
@@ -71,7 +71,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def linked(fps: np.ndarray, segment: int, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
     """Edges (as stars) between distinct fingerprints that agree in ``segment``; fps unsigned."""
     n, ring = len(fps), len(SEGMENTS)
-    out_a, out_b = [], []
+    label = np.arange(n)
     step = max(1, min(n, 1_000_000 // n))
     for i in range(0, n, step):
         x = fps[i : i + step, None] ^ fps[None, i:]
@@ -85,14 +85,16 @@ def linked(fps: np.ndarray, segment: int, distance: int = DISTANCE) -> tuple[np.
             ok = total <= length * distance // ring
             at_a, at_b, x, total = at_a[ok], at_b[ok], x[ok], total[ok]
         ok = np.bitwise_count(x) <= distance
-        out_a.append(fps[i + at_a[ok]])
-        out_b.append(fps[i + at_b[ok]])
-    return np.concatenate(out_a), np.concatenate(out_b)
+        if ok.any():
+            # The step's links and the stars so far become stars: never more than n of them are held.
+            held = np.flatnonzero(label != np.arange(n))
+            nodes, low = roots(np.concatenate([i + at_a[ok], held]), np.concatenate([i + at_b[ok], label[held]]))
+            label[nodes] = low
+    held = np.flatnonzero(label != np.arange(n))
+    return fps[held], fps[label[held]]
 
 
 def _bucket_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from furrow.llm.common import roots
-
     out: list[tuple[np.ndarray, np.ndarray]] = []
     held = 0
 
@@ -152,7 +154,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # Written, so that no task runs two Python functions at a time.
     found = components(written(links(first.select("fp")), "links"))
     rooted = first.join(found, first["fp"] == found["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    # Both sides of the join are written, so that Spark can split the rows of a large component.
+    rooted = written(rooted, "rooted")
+    least = written(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "least")
     named = rooted.join(least, "root").select(F.col("fp").alias("of"), "root", "component_id")
     return prints.join(named, prints["fp"] == named["of"]).select("doc_id", "text_hash", "fp", "root", "component_id")
 

@@ -150,3 +150,66 @@ def test_languages_of_short_or_long_texts_are_learned(spark):
     assert sum(x.lang_pred == x.lang for x in got) >= 0.97 * len(got)
     # With usual texts enough, no others are taken.
     assert {len(x.text) >= langid.SHORT for x in langid.sample(docs, 5).where("lang = 'xx'").collect()} == {True}
+
+
+def test_numerals_are_not_letters_and_results_replace_columns(spark):
+    r = random.Random(4)
+    text = lambda parts, n: " ".join("".join(r.choice(parts) for _ in range(3)) for _ in range(n))
+    rows = [(i, text(["ka", "lo"], 60) if i % 2 else text(["zü", "rr"], 60), "xy"[i % 2], 0.5, "m") for i in range(60)]
+    odd = ["½ ² Ⅷ", "Ⅷ", "٣٤", "___", "①②", "\u0301", "²" + text(["ka", "lo"], 20)]
+    rows += [(100 + i, t, None, 0.5, "m") for i, t in enumerate(odd)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, margin string")
+    got = {x.doc_id: x for x in langid.identified(docs, langid.train(docs), ["doc_id", "score", "margin", "lang"]).collect()}
+    assert [got[100 + i].lang_pred for i in range(6)] == ["und"] * 6 and got[106].lang_pred == "y"
+    assert all(got[100 + i].score == 0 and not got[100 + i].accepted for i in range(6))
+
+
+def test_predictions_equal_brute_force(spark):
+    """The language whose dictionary makes a text's pieces smallest, worked out row by row from the sample alone."""
+    import math
+
+    import zstandard
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {}
+    for x in langid.sample(docs).collect():
+        texts.setdefault(x.lang, []).append((x.nth, x.text))
+    clean = lambda t: (" " + re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in t.lower())) + " ").encode()
+    model = {k: zstandard.ZstdCompressionDict(b"\n".join(clean(t) for _, t in sorted(v, reverse=True))[-langid.DICTIONARY :], dict_type=zstandard.DICT_TYPE_RAWCONTENT) for k, v in texts.items()}
+    for d in model.values():
+        d.precompute_compress(level=langid.LEVEL)
+    got = {x.doc_id: x for x in langid.query(spark, "/root/testdata/sf0.001").collect()}
+    right = held = 0
+    for x in docs.collect():
+        raw = clean(x.text or "")
+        if not raw.strip():
+            assert got[x.doc_id].lang_pred == "und"
+            continue
+        pieces = [raw[i : i + langid.PIECE] for i in range(0, len(raw), langid.PIECE)]
+        size = {k: sum(len(zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress(p)) for p in pieces) for k, d in model.items()}
+        best = min(sorted(size), key=size.get)
+        assert got[x.doc_id].lang_pred == best
+        assert abs(got[x.doc_id].score - 1 / sum(math.exp((size[best] - n) / langid.SCALE) for n in size.values())) < 1e-9
+        if got[x.doc_id].held_out and x.lang is not None:
+            held += 1
+            right += best == x.lang
+    assert held > 20 and right >= 0.95 * held
+
+
+def test_rows_without_ids_are_spread(spark):
+    """9,000 rows without an id: no shard or slice has them all, and the results keep their promises."""
+    rows = [(None, f"word {i} " + "x " * (i % 40), "abc"[i % 3]) for i in range(9000)] + [(None, "same text", "d")] * 900
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = packing.packed(docs, capacity=100, shard=256).collect()
+    assert len(got) == len(rows)
+    bins, shards = {}, {}
+    for x in got:
+        bins.setdefault(x.bin_id, []).append(x)
+        shards[x.bin_id >> 32] = shards.get(x.bin_id >> 32, 0) + 1
+    assert len(shards) > 30 and sorted(shards.values())[-2] < 500
+    for b in bins.values():
+        assert sum(x.length for x in b) + b[0].bin_free == 100 and len({x.bin_free for x in b}) == 1
+        assert len({x.source for x in b}) == len(b) == len({x.cluster for x in b})
+    slices = mixing.sized(docs).selectExpr("substring(h, 1, 3) AS s").groupBy("s").count().orderBy("count", ascending=False).head(2)
+    assert slices[1]["count"] < 20
+    assert sum(x.taken for x in mixing.mixed(docs).collect()) <= sum(size(t) for _, t, _ in rows)
