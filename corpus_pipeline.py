@@ -1,23 +1,25 @@
 """From raw documents to packed training sequences, in five stages.
 
 Every stage takes (spark, docs, sf_dir), works on all rows that the stage before it has kept, and returns a DataFrame
-that is written as Parquet and read again. All but the last return the columns of ``documents``.
+that is written as Parquet and read again. All but the last return the columns of ``documents``; further columns of
+their input, whatever their names, are left out. Nulls may be in any column, texts may be of any length, ids and whole rows may repeat,
+and an empty table gives an empty table; what each stage makes of them stands with it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from furrow.llm import langid, mixing, packing, pii, simhash
-from furrow.llm.common import documents, joined, written
+from furrow.llm.common import documents, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is told with a margin, and sets lang to it; null texts, texts without
-    letters and narrow margins go."""
+    letters and narrow margins go. Repeated rows fare alike."""
     found = langid.identified(docs.select(*COLUMNS), langid.train(docs), COLUMNS)
     return found.where("accepted").withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
@@ -36,20 +38,29 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data by the name of its kind."""
+    """Replaces personal data by the name of its kind, in every row; null texts stay null (n_chars is then null, too)."""
     return pii.masked(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes each document as often as the mix does; those that it doesn't take go."""
-    taken = mixing.mixed(docs).where("copies > 0").select("doc_id", "source", "copies").distinct()
-    taken = written(taken.groupBy("doc_id", "source").agg(F.max("copies").alias("copies")), "taken")
-    out = joined(docs.select(*COLUMNS), taken, ["doc_id", "source"])
-    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
+    """Takes each document as often as the mix does; those that it doesn't take go. Documents of one id are told apart by their
+    texts; rows that agree in id, text and source share what the mix takes of them evenly, in the order of their other columns."""
+    keys = [F.col("doc_id").isNull().alias("unnamed"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.col("text_hash"), F.coalesce("source", F.lit("")).alias("of"), F.col("source").isNull().alias("nowhere")]
+    names = ["unnamed", "id", "text_hash", "of", "nowhere"]
+    taken = mixing.mixed(docs).select(*keys, "copies").groupBy(*names).agg(F.sum("copies").alias("all_copies"), F.count(F.lit(1)).alias("rows"))
+    taken = written(taken.where("all_copies > 0"), "taken")
+    keyed = docs.select(*COLUMNS, F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    keyed = keyed.select(*COLUMNS, *keys).join(taken, names)
+    # The join's exchange serves the window, too.
+    nth = F.row_number().over(Window.partitionBy(*names).orderBy("lang", "n_chars")) - 1
+    copies = F.floor((F.col("all_copies") + F.col("rows") - 1 - nth) / F.col("rows")).cast("int")
+    out = keyed.withColumn("copies", copies).where("copies > 0")
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece of every document: its place in a sequence."""
+    """A row for each piece of every document: its place in a sequence. Repeated rows are packed apart; null and empty
+    texts have one piece of length zero."""
     return packing.packed(docs)
 
 
@@ -61,7 +72,7 @@ STAGES = [
     ("best-fit packing", pack),
 ]
 
-#: SQL has no compression classifier; the stages are tested one by one against brute force.
+#: SQL has no compression classifier; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
