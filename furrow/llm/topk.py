@@ -7,8 +7,10 @@ tree (median splits on the widest direction, leaves of up to ``LEAF`` rows) is s
 down, and a node is skipped for the queries whose kth score is above its bound.
 
 Queries go out in rounds (``ROUNDS``): each to the shard with its highest bound; then, as the kth score found so far is shared
-with all shards, to the next few whose bound reaches it; then to all others that still do. Bounds are taken between blocks of
-queries and packs of shards, and only pairs that reach the kth score are rows. Queries of a shard that many ask are split into parts.
+with all shards, to the next few whose bound reaches it; then to all others that still do. The kth result goes along: of equal
+scores only smaller vec_ids can still enter, so a shard that can't beat it is left out, and no shard returns what does not. Bounds are
+taken between blocks of queries and packs of shards, and only pairs that can give a result are rows. Queries of a shard that many ask are
+split into parts.
 
 Scores are exact. Where squared norms are below 2 ** 53, so is every partial sum of a product, and doubles are exact; any other
 vector (``big``) is scored with unbounded integers. Ranks follow the exact score; one beyond a long is shown as the nearest
@@ -183,7 +185,7 @@ def _placer(cells: dict[int, Cells]):
 
 
 def _sharder(shard: int):
-    """Rows with the shard they are in, and a row for each shard: its centre as vector, and its radius."""
+    """Rows with the shard they are in, and a row for each shard: its smallest id, its centre as vector, and its radius."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, nth = TaskContext.get().partitionId(), 0
@@ -193,7 +195,7 @@ def _sharder(shard: int):
             raw = [v for p in parts for v in p.column("vector").to_pylist()]
             centre, radius = ball(_matrix(raw))
             ids = np.concatenate([p.column("id").to_numpy() for p in parts])
-            for kind, i, v, r in ((0, ids, raw, np.zeros(n)), (1, np.zeros(1, np.int64), [centre.tobytes()], np.array([radius]))):
+            for kind, i, v, r in ((0, ids, raw, np.zeros(n)), (1, ids.min(keepdims=True), [centre.tobytes()], np.array([radius]))):
                 same = {k: pa.array(np.full(len(v), x)) for k, x in (("dim", dim), ("shard", name), ("kind", kind))}
                 yield emit({"id": pa.array(i), "vector": pa.array(v, pa.binary()), "radius": pa.array(r), "big": pa.array(np.full(len(v), bool(big)))} | same)
             nth += 1
@@ -210,7 +212,10 @@ def _bounder(width: int | None):
             q, c = _matrix([a["vector"] for a in asked]), _matrix([p["centre"] for p in pack])
             u = upper(q, c, np.array([p["radius"] for p in pack]))
             kth = np.array([-np.inf if a["floor"] is None else float(a["floor"]) for a in asked])
-            open_ = u >= kth[:, None]
+            last = np.array([np.iinfo(np.int64).max if a["last"] is None else a["last"] for a in asked])
+            low = np.array([p["low"] for p in pack])
+            # Scores are whole numbers: below kth + 1 a shard can only tie, and then needs a smaller id.
+            open_ = (u >= kth[:, None]) & ((u >= kth[:, None] + 1) | (low[None] < last[:, None]))
             names = np.array([p["shard"] for p in pack])
             for i, a in enumerate(asked):
                 if a["sent"]:
@@ -239,17 +244,23 @@ def _searcher(k: int):
                 raise RuntimeError("queries without their shard")
             copy = np.concatenate([p.column("copy").to_numpy() for p in parts])
             floor = [None if f is None else int(f) for p in parts for f in p.column("floor").to_pylist()]
+            last = [i for p in parts for i in p.column("last").to_pylist()]
             for one in (False, True):
                 mine = np.flatnonzero((big | held[3]) == one)
                 for at in (mine[i : i + BLOCK] for i in range(0, len(mine), BLOCK)):
                     low = [floor[i] for i in at.tolist()]
                     if one:
                         row, i, s = search_whole(held[1], held[2], ids[at], x[at], low, k)
+                        new = [n for n, r in enumerate(row) if low[r] is None or s[n] > low[r] or i[n] < last[at[r]]]
+                        row, i, s = ([y[n] for n in new] for y in (row, i, s))
                         if any(abs(v) >= 10**38 for v in s):
                             raise OverflowError("a score has more than 38 digits")
                         scores = pa.array(s, pa.decimal128(38, 0))
                     else:
                         row, i, s = held[4].search(ids[at], x[at], np.array([-np.inf if f is None else float(f) for f in low]), k)
+                        least = np.array([-np.inf if f is None else float(f) for f in low])[row]
+                        new = (s > least) | (i < np.array([0 if n is None else n for n in last], np.int64)[at][row])
+                        row, i, s = row[new], i[new], s[new]
                         scores = pa.array(s.astype(np.int64)).cast(pa.decimal128(38, 0))
                     yield emit({"query": pa.array(ids[at][row]), "copy": pa.array(copy[at][row]), "vec_id": pa.array(i, pa.int64()), "score": scores})
 
@@ -283,18 +294,18 @@ def top_k(vectors: DataFrame, id_column: str = "vec_id", column: str = "embeddin
     shards = balls.count()
     packs = max(1, -(-shards // PACK))
     packed_balls = balls.withColumn("pack", F.pmod(F.xxhash64("shard"), F.lit(packs))).groupBy("dim", "pack")
-    packed_balls = packed_balls.agg(F.collect_list(F.struct("shard", F.col("vector").alias("centre"), "radius")).alias("pack_of"))
+    packed_balls = packed_balls.agg(F.collect_list(F.struct("shard", F.col("vector").alias("centre"), "radius", F.col("id").alias("low"))).alias("pack_of"))
     # Queries of one id are told apart by their vectors; equal ones are one query.
     asked = packed.where(F.col("id") % every == 0).withColumn("copy", F.xxhash64("vector")).select("id", "copy", "dim", "big", "vector").distinct()
     asked = written(asked, "queries")
     blocks = max(1, asked.count() // BLOCK)
-    state = asked.withColumns({"floor": F.lit(None).cast("decimal(38,0)"), "sent": F.array().cast("array<long>")})
+    state = asked.withColumns({"floor": F.lit(None).cast("decimal(38,0)"), "last": F.lit(None).cast("long"), "sent": F.array().cast("array<long>")})
     ranked = Window.partitionBy("query", "copy").orderBy(F.desc("score"), "vec_id")
     best = sent = None
     asked_of = 0  # shards that every query has been to, unless its kth score ruled them out
     for width in (*ROUNDS, None):
         block = state.withColumn("block", F.pmod(F.xxhash64("id", "copy"), F.lit(blocks))).groupBy("dim", "block")
-        block = block.agg(F.collect_list(F.struct("id", "copy", "vector", "floor", "sent")).alias("asked"))
+        block = block.agg(F.collect_list(F.struct("id", "copy", "vector", "floor", "last", "sent")).alias("asked"))
         block = block.withColumn("pack", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(packs - 1).cast("long"))))
         pairs = block.join(packed_balls, ["dim", "pack"]).select("asked", "pack_of").repartition(min(partitions(spark), blocks * packs))
         pairs = pairs.mapInArrow(_bounder(width), "id long, copy long, shard long, bound double")
@@ -306,9 +317,9 @@ def top_k(vectors: DataFrame, id_column: str = "vec_id", column: str = "embeddin
             break
         load = pairs.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / part).cast("long").alias("parts"))
         trees = members.join(load, "shard").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-        trees = trees.select("shard", "part", "kind", "id", F.lit(0).cast("long").alias("copy"), "big", "vector", F.lit(None).cast("decimal(38,0)").alias("floor"))
+        trees = trees.select("shard", "part", "kind", "id", F.lit(0).cast("long").alias("copy"), "big", "vector", F.lit(None).cast("decimal(38,0)").alias("floor"), F.lit(None).cast("long").alias("last"))
         to = pairs.join(load, "shard").join(state, ["id", "copy"]).withColumn("part", F.pmod(F.xxhash64("id", "copy"), "parts"))
-        to = to.select("shard", "part", F.lit(1).cast("long").alias("kind"), "id", "copy", "big", "vector", "floor")
+        to = to.select("shard", "part", F.lit(1).cast("long").alias("kind"), "id", "copy", "big", "vector", "floor", "last")
         every_row = trees.unionByName(to).repartition(partitions(spark), "shard", "part").sortWithinPartitions("shard", "part", "kind", "id")
         found = every_row.mapInArrow(_searcher(k), FOUND)
         found = found if best is None else found.unionByName(best)
@@ -316,7 +327,8 @@ def top_k(vectors: DataFrame, id_column: str = "vec_id", column: str = "embeddin
         asked_of += width or shards
         if asked_of >= shards:
             break
-        kth = best.groupBy(F.col("query").alias("id"), "copy").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor"))
+        kth = best.groupBy(F.col("query").alias("id"), "copy").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct((-F.col("score")).alias("under"), "vec_id")).alias("kth"))
+        kth = kth.where(F.col("n") >= k).select("id", "copy", (-F.col("kth.under")).cast("decimal(38,0)").alias("floor"), F.col("kth.vec_id").alias("last"))
         sent = pairs if sent is None else sent.unionByName(pairs)
         gone = sent.groupBy("id", "copy").agg(F.collect_list("shard").alias("sent"))  # at most sum(ROUNDS) a query
         state = asked.join(kth, ["id", "copy"], "left").join(gone, ["id", "copy"], "left")
