@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,8 +28,23 @@ ASSETS = {
 }
 
 
+_given: ContextVar[Mapping[str, Column]] = ContextVar("given", default={})
+
+
+@contextmanager
+def given(columns: Mapping[str, Column]) -> Iterator[None]:
+    """Within it, band() takes these columns, in which nodata is NULL already."""
+    token = _given.set(columns)
+    try:
+        yield
+    finally:
+        _given.reset(token)
+
+
 def band(name: str) -> Column:
     """A band with the nodata value as NULL."""
+    if name in _given.get():
+        return _given.get()[name]
     return F.nullif(F.col(name).cast("double"), F.lit(float(NODATA)))
 
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from furrow.functions.bands import band, scaled
+from furrow.functions.bands import BANDS, band, given, scaled
 
 # Band centres in nanometres, and degrees per radian as the angle indices use it.
 CENTRES = {"BLUE": 480, "GREEN": 560, "RED": 655, "NIR1": 865, "SWIR1": 1610, "SWIR2": 2200}
@@ -124,3 +124,14 @@ def feature(name: str) -> Column:
 
 
 FEATURES = (*CENTRES, *INDICES)
+
+
+def with_features(df: DataFrame, names: Sequence[str], prefix: str = "") -> DataFrame:
+    """Adds bands and indices as columns ``prefix`` + name.
+
+    Bands come first, in a projection of their own: each is then computed once a row, and the generated methods stay small
+    enough to be compiled."""
+    kept = [c for c in df.columns if c not in {prefix + n for n in names}]
+    df = df.withColumns({f"_b_{b}": band(b) for b in BANDS})
+    with given({b: F.col(f"_b_{b}") for b in BANDS}):
+        return df.select(*kept, *[feature(n).alias(prefix + n) for n in names])

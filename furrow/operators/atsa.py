@@ -16,7 +16,7 @@ from furrow.functions.bands import BANDS
 from furrow.functions.qa import masked
 from furrow.operators import gains, haze, raster, stats
 from furrow.operators.cube import always_water, without_empty_dates, without_snow_dates, without_snow_pixels
-from furrow.operators.lineage import cut
+from furrow.operators.lineage import cut, per_date
 
 
 @dataclass(frozen=True)
@@ -62,7 +62,7 @@ def with_haze(df: DataFrame, p: Parameters) -> DataFrame:
     def lines(part: DataFrame, y: str, most: float) -> DataFrame:
         fit = part.where(F.col("BLUE").isNotNull() & F.col(y).isNotNull())
         low = fit.where(F.col("BLUE").between(0.01 * p.dn_max, most)).groupBy("t").agg(F.min("BLUE").alias("low"))
-        return haze.with_fallback(haze.lines(fit.join(low, "t"), "BLUE", y, "low", most), dates)
+        return haze.with_fallback(haze.lines(per_date(fit, low, "inner"), "BLUE", y, "low", most), dates)
 
     # A line for each date.
     on_land = lines(df.where(land), "RED", p.land_limit)
@@ -140,7 +140,7 @@ def with_shadow_index(df: DataFrame, p: Parameters) -> DataFrame:
     own = df.withColumn("one", F.col("mask")).withColumn("mask", F.col("mask2"))
     g1 = gains.gains(own, "NIR1", best, per_date=False).withColumnsRenamed({"gain": "g1", "bias": "b1"})
     g2 = gains.gains(own, "SWIR1", best).withColumnsRenamed({"gain": "g2", "bias": "b2"})
-    df = df.join(g1, "t", "left").join(g2, "t", "left")
+    df = per_date(df, g1.join(g2, "t", "full"))
     land = F.coalesce(able & (F.col("mask") <= 1), F.lit(False))
     wet = F.coalesce((F.col("water") == 1) & (F.col("NIR1") >= 0.1 * p.dn_max) & (F.col("mask") <= 1), F.lit(False))
     value = F.when(wet, F.col("BLUE") + F.col("GREEN")).when(land, F.col("g1") * F.col("NIR1") + F.col("b1") + F.col("g2") * F.col("SWIR1") + F.col("b2"))
@@ -165,7 +165,7 @@ def shadows(df: DataFrame, p: Parameters) -> DataFrame:
     df = df.withColumns({n: F.coalesce(c, F.lit(False)) for n, c in rules.items()})
     # Counts by date, joined back: a date's pixels are never one task.
     dates = df.groupBy("t").agg((F.count_if(F.col("ini") == 1) < 2).alias("few"), *[F.bool_or(n).alias(f"any_{n}") for n in rules])
-    df = df.join(dates, "t")
+    df = per_date(df, dates, "inner")
     rule = F.when(F.col("few"), F.lit("ini")).when(F.col("any_r1"), "r1").when(F.col("any_r2"), "r2").when(F.col("any_r3"), "r3")
     hit = F.when(rule == "r1", F.col("r1")).when(rule == "r2", F.col("r2")).when(rule == "r3", F.col("r3")).otherwise(F.lit(False))
     m = F.when((rule == "ini") & (F.col("mask") != 0), F.col("ini")).when(hit, 0).otherwise(F.col("mask"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from furrow.functions.scalars import haze_distance
+from furrow.operators.lineage import per_date
 from furrow.operators.stats import brightest, median_line
 
 STEEPEST, BINS = 1.5, 50
@@ -41,4 +42,4 @@ def with_fallback(found: DataFrame, dates: DataFrame) -> DataFrame:
 
 def distances(df: DataFrame, line: DataFrame, x: str, y: str, out: str = "hot") -> DataFrame:
     """Adds the distance of (x, y) from its date's line."""
-    return df.join(line, "t", "left").withColumn(out, haze_distance(F.col(x), F.col(y), F.col("slope"), F.col("intercept"))).drop("slope", "intercept")
+    return per_date(df, line).withColumn(out, haze_distance(F.col(x), F.col(y), F.col("slope"), F.col("intercept"))).drop("slope", "intercept")

@@ -12,19 +12,24 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.functions.indices import feature
+from furrow.functions.indices import feature, with_features
 from furrow.functions.scalars import clipped, finite, normal_cdf, small_int, square
 
 SPREAD = 144.61
-# The names of the models that the scoring functions know, and the features of the cover model.
-REGISTRY = ("biomass", "biomass_se", "cover", "protein", "bare", "green", "litter")
+# The features of the cover model.
 COVER_FEATURES = ("NDVI", "DFI", "NDTI", "SATVI", "NDII7", "BAI_126", "BAI_136", "BAI_146", "BAI_236", "BAI_246", "BAI_346", "BLUE", "GREEN", "RED", "NIR1", "SWIR1", "SWIR2")
 COVER = ("BARE", "SD", "GREEN", "LITT")
 
 
+#: Models that a set may have: each is an expression of a plan.
+MOST = 10_000
+
+
 def load(spark: SparkSession, path: str) -> list[dict]:
-    """The models of a JSON-lines file or folder, by name. A set of models is small and read by the driver."""
-    rows = spark.read.text(path).collect()
+    """The models of a JSON-lines file or folder, by name: ``MOST`` of them at most, read by the driver."""
+    rows = spark.read.text(path).limit(MOST + 1).collect()
+    if len(rows) > MOST:
+        raise ValueError(f"{path} holds more than {MOST} models")
     return sorted((json.loads(r.value) for r in rows if r.value.strip()), key=lambda m: m["name"])
 
 
@@ -53,12 +58,9 @@ def biomass(model: Mapping) -> Column:
     return small_int(linear(model))
 
 
-def sampled(models: Sequence[dict], n: int, seed: int = 0) -> list[dict]:
-    """``n`` models without replacement, the same for a seed."""
-    import random
-
-    ordered = sorted(models, key=lambda m: m["name"])
-    return random.Random(seed).sample(ordered, min(n, len(ordered)))
+def sampled(models: DataFrame, n: int, seed: int = 0, name: str = "name") -> DataFrame:
+    """``n`` rows of a table of models without replacement, the same for a seed: those whose hash of seed and name is lowest."""
+    return models.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(name).cast("string"))), name).limit(n)
 
 
 def biomass_error(models: Sequence[dict], spread: float = SPREAD, given: Mapping[str, Column] | None = None) -> Column:
@@ -85,7 +87,7 @@ def with_error(df: DataFrame, models: Sequence[dict], out: str = "se", spread: f
     their own, so each is computed once a row and all of it is compiled."""
     names = sorted({n for m in models for n in m["coef"]})
     kept, n = df.columns, len(models)
-    df = df.withColumns({f"_f_{f}": feature(f) for f in names})
+    df = with_features(df, names, "_f_")
     given = {f: F.col(f"_f_{f}") for f in names}
     df = df.withColumns({f"_p_{i}": linear(m, given) for i, m in enumerate(models)})
     p = [F.col(f"_p_{i}") for i in range(n)]
@@ -100,7 +102,14 @@ def below(biomass_column: Column, error: Column, threshold: float) -> Column:
     return normal_cdf(F.try_divide(F.lit(float(threshold)) - biomass_column, error))
 
 
-def cover(models: Mapping[str, Mapping]) -> dict[str, Column]:
+def with_cover(df: DataFrame, models: Mapping[str, Mapping]) -> DataFrame:
+    """``df`` with the shares of cover(); features are columns first, so each is computed once for the four models."""
+    kept = [c for c in df.columns if c not in COVER]
+    df = with_features(df, COVER_FEATURES, "_f_")
+    return df.select(*kept, *[c.alias(n) for n, c in cover(models, {f: F.col(f"_f_{f}") for f in COVER_FEATURES}).items()])
+
+
+def cover(models: Mapping[str, Mapping], given: Mapping[str, Column] | None = None) -> dict[str, Column]:
     """Shares of bare ground, standing dead, green and litter, each within 0 and 1; they need not add up to 1.
 
     Features are bound by name; each model has exactly those of the cover model."""
@@ -108,5 +117,5 @@ def cover(models: Mapping[str, Mapping]) -> dict[str, Column]:
     for name in COVER:
         if set(models[name]["coef"]) != set(COVER_FEATURES):
             raise ValueError(f"the model of {name} has other features than the cover model")
-        out[name] = clipped(linear(models[name]))
+        out[name] = clipped(linear(models[name], given))
     return out

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from furrow.operators.lineage import cut, per_date
+
 IMAGE = "t"
 
 
@@ -47,26 +49,41 @@ def components(df: DataFrame, value: int, least: int = 8) -> DataFrame:
     return df.join(big, keys, "left")
 
 
-def without_lone_clouds(df: DataFrame, method: int = 1, code: int = 2, becomes: int = 1) -> DataFrame:
-    """Clouds (or another ``code``) become clear where they stand alone: method 1 up to 4 in the last 4 x 4, method 2 that five times
-    over, method 3 up to 8 there and fewer than 8 connected."""
+def without_lone_clouds(df: DataFrame, method: int = 1, code: int = 2, becomes: int = 1, rounds: int = 5) -> DataFrame:
+    """Clouds (or another ``code``) become clear where they stand alone: method 1 up to 4 in the last 4 x 4, method 2 in rounds
+    (repeated()), method 3 up to 8 there and fewer than 8 connected."""
     if method not in (1, 2, 3):
         raise ValueError("the method is 1, 2 or 3")
-    for _ in range(5 if method == 2 else 1):
-        if method == 3:
-            df = components(df, code)
-        df = window_sum(df, F.col("mask") == code, 4, "_near")
-        lone = (F.col("mask") == code) & (F.col("_near") <= (8 if method == 3 else 4))
-        if method == 3:
-            lone = lone & ~F.coalesce(F.col("big"), F.lit(False))
-        df = df.withColumn("mask", F.when(F.coalesce(lone, F.lit(False)), F.lit(becomes)).otherwise(F.col("mask"))).drop("_near", "big")
-    return df
-
-
-def without_lone_shadows(df: DataFrame, method: int = 3) -> DataFrame:
+    if method == 2:
+        return repeated(df, code, becomes, rounds)
+    if method == 3:
+        df = components(df, code)
+    df = window_sum(df, F.col("mask") == code, 4, "_near")
+    lone = (F.col("mask") == code) & (F.col("_near") <= (8 if method == 3 else 4))
+    if method == 3:
+        lone = lone & ~F.coalesce(F.col("big"), F.lit(False))
+    return df.withColumn("mask", F.when(F.coalesce(lone, F.lit(False)), F.lit(becomes)).otherwise(F.col("mask"))).drop("_near", "big")
+
+
+def repeated(df: DataFrame, code: int, becomes: int, rounds: int) -> DataFrame:
+    """Every round clears the pixels of ``code`` that stood alone after the one before, and only those: others have their first value
+    again. Rounds end when no date differs from the first mask by ``rounds`` or more, or after ``rounds`` + 1 of them."""
+    first = df.withColumn("_first", F.col("mask"))
+    now = first
+    for _ in range(rounds + 1):
+        now = window_sum(now, F.col("mask") == code, 4, "_near")
+        lone = F.coalesce((F.col("mask") == code) & (F.col("_near") <= 4), F.lit(False))
+        now = cut(now.withColumn("mask", F.when(lone, F.lit(becomes)).otherwise(F.col("_first"))).drop("_near"))
+        moved = now.groupBy(IMAGE).agg(F.sum(F.abs(F.col("mask") - F.col("_first"))).alias("n")).agg(F.max("n")).first()[0]
+        if (moved or 0) < rounds:
+            break
+    return now.drop("_first")
+
+
+def without_lone_shadows(df: DataFrame, method: int = 3, rounds: int = 5) -> DataFrame:
     if method not in (2, 3):
         raise ValueError("the method is 2 or 3")
-    return without_lone_clouds(df, method, code=0)
+    return without_lone_clouds(df, method, code=0, rounds=rounds)
 
 
 def cloud_buffer(df: DataFrame, size: int = 5) -> DataFrame:
@@ -105,8 +122,11 @@ def shadow_zone(df: DataFrame, angles: DataFrame, longest: float = 134, shortest
     heights = shadow_heights(angles.dropna(), longest, shortest)
     # At most four corners of some dozens of heights a date.
     shifts = heights.select(IMAGE, "dx", "dy").union(df.select(IMAGE, F.lit(0).alias("dx"), F.lit(0).alias("dy"))).distinct()
+    shifts = shifts.groupBy(IMAGE).agg(F.collect_list(F.struct("dx", "dy")).alias("shift"))
     cloud = df.where(F.col("mask") == 2).select(IMAGE, "y", "x")
-    hit = cloud.join(shifts, IMAGE).select(IMAGE, (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x")).distinct()
+    # One row a date, joined where the clouds are; its shifts are then rows on that side, without a shuffle of their own.
+    hit = per_date(cloud, shifts, "inner").select(IMAGE, "y", "x", F.inline("shift"))
+    hit = hit.select(IMAGE, (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x")).distinct()
     hit = hit.withColumn("potential", F.lit(1))
     ends = heights.groupBy(IMAGE, "corner").agg(F.max_by(F.struct("dx", "dy"), "k").alias("e")).select(IMAGE, "e.dx", "e.dy")
     size = df.groupBy(IMAGE).agg((F.max("x") + 1).alias("nx"), (F.max("y") + 1).alias("ny"))
@@ -117,5 +137,5 @@ def shadow_zone(df: DataFrame, angles: DataFrame, longest: float = 134, shortest
         F.max(F.when(F.col("dy") > 0, F.col("dy"))).alias("top"),
     )
     strip = (F.col("x") >= F.col("right")) | (F.col("x") <= F.col("left")) | (F.col("y") >= F.col("bottom")) | (F.col("y") <= F.col("top"))
-    out = df.join(hit, [IMAGE, "y", "x"], "left").join(edges, IMAGE, "left")
+    out = per_date(df.join(hit, [IMAGE, "y", "x"], "left"), edges)
     return out.withColumn("zone", F.when(F.coalesce(strip, F.lit(False)), 99).otherwise(F.coalesce("potential", F.lit(0)))).drop("potential", "right", "left", "bottom", "top")

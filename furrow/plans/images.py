@@ -28,13 +28,17 @@ def isolated(spark, d):
     return raster.without_lone_clouds(chips(spark, d), 1).select("t", "y", "x", "mask")
 
 
-_FIVE, _SRC = WITH, "chip"
-for _k in range(5):
-    _FIVE += f", c{_k} AS (SELECT t, y, x, CASE WHEN mask = 2 AND near <= 4 THEN 1 ELSE mask END AS mask FROM {near('mask = 2', 4, _SRC)})"
+#: All six rounds, and the first after which no date has moved by five or more.
+_ROUNDS, _SRC = WITH, "chip"
+for _k in range(6):
+    _ROUNDS += f""", c{_k} AS (SELECT n.t, n.y, n.x, CASE WHEN n.mask = 2 AND n.near <= 4 THEN 1 ELSE chip.mask END AS mask
+  FROM {near('mask = 2', 4, _SRC)} n JOIN chip ON chip.t = n.t AND chip.y = n.y AND chip.x = n.x),
+m{_k} AS (SELECT coalesce(max(s), 0) AS moved FROM (SELECT sum(abs(c.mask - chip.mask)) AS s FROM c{_k} c JOIN chip ON chip.t = c.t AND chip.y = c.y AND chip.x = c.x GROUP BY c.t))"""
     _SRC = f"c{_k}"
+_ROUNDS += ", k AS (SELECT CASE " + " ".join(f"WHEN (SELECT moved FROM m{i}) < 5 THEN {i}" for i in range(5)) + " ELSE 5 END AS k)"
 
 
-@query("remove_cloud_repeated", f"{_FIVE} SELECT t, y, x, mask FROM c4")
+@query("remove_cloud_repeated", f"{_ROUNDS} " + " UNION ALL ".join(f"SELECT t, y, x, mask FROM c{i} WHERE (SELECT k FROM k) = {i}" for i in range(6)))
 def isolated_repeated(spark, d):
     return raster.without_lone_clouds(chips(spark, d), 2).select("t", "y", "x", "mask")
 
@@ -92,27 +96,29 @@ _buffer(2, "mask IN (1, 99)")
 _buffer(3, "mask NOT IN (2, 3)")
 
 #: Angles of a date in hundredths of a degree.
-_ANGLES = {"sza": "2000 + t * 37 % 4000", "saa": "9000 + t * 53 % 9000", "vza": "100 + t * 7 % 900", "vaa": "10000 + t * 11 % 9000"}
+_ANGLES = {"sza": "2000 + t * 37 % 4000 + 300 * c", "saa": "9000 + t * 53 % 9000 + 4000 * c", "vza": "100 + t * 7 % 900 + 50 * c", "vaa": "10000 + t * 11 % 9000 - 700 * c"}
 LONGEST, SHORTEST = 8, 0
 
 
 @query(
     "shadow_project",
-    f"""{WITH}, a AS (SELECT DISTINCT t, {', '.join(f'radians(({e}) * 0.01e0) AS {n}' for n, e in _ANGLES.items())} FROM chip),
+    f"""{WITH}, a AS (SELECT DISTINCT t, c.c AS corner, {', '.join(f'radians(({e}) * 0.01e0) AS {n}' for n, e in _ANGLES.items())} FROM chip, range(0, 4) c(c)),
 b AS (SELECT *, sqrt(pow(tan(sza) * sin(saa), 2) + pow(tan(sza) * cos(saa), 2)) AS reach FROM a),
 h AS (SELECT b.*, {SHORTEST} / reach + 3 * k.k AS h, k.k AS k FROM b, range(0, 100) k(k) WHERE k.k < ceil(round(({LONGEST} / reach - {SHORTEST} / reach) / 3, 9))),
-s AS (SELECT t, k, CAST(round_even(round(-(h * tan(sza) * sin(saa)), 9), 0) + round_even(round(h * tan(vza) * sin(vaa), 9), 0) AS INTEGER) AS dx,
+s AS (SELECT t, corner, k, CAST(round_even(round(-(h * tan(sza) * sin(saa)), 9), 0) + round_even(round(h * tan(vza) * sin(vaa), 9), 0) AS INTEGER) AS dx,
              CAST(round_even(round(h * tan(sza) * cos(saa), 9), 0) + round_even(round(h * tan(vza) * cos(vaa), 9), 0) AS INTEGER) AS dy FROM h),
 z AS (SELECT t, dx, dy FROM s UNION SELECT DISTINCT t, 0, 0 FROM chip),
 hit AS (SELECT DISTINCT c.t, c.y + z.dy AS y, c.x + z.dx AS x FROM chip c JOIN z ON z.t = c.t WHERE c.mask = 2),
-f AS (SELECT t, arg_max(dx, k) AS ex, arg_max(dy, k) AS ey FROM s GROUP BY t)
-SELECT c.t, c.y, c.x, CAST(CASE WHEN coalesce(CASE WHEN f.ex <= 0 THEN c.x >= 7 + f.ex ELSE c.x <= f.ex END OR CASE WHEN f.ey <= 0 THEN c.y >= 7 + f.ey ELSE c.y <= f.ey END, false) THEN 99
+f AS (SELECT t, corner, arg_max(dx, k) AS ex, arg_max(dy, k) AS ey FROM s GROUP BY t, corner),
+e AS (SELECT t, max(CASE WHEN ex > 0 THEN ex END) AS l, min(CASE WHEN ex <= 0 THEN 7 + ex END) AS r, max(CASE WHEN ey > 0 THEN ey END) AS u, min(CASE WHEN ey <= 0 THEN 7 + ey END) AS d FROM f GROUP BY t)
+SELECT c.t, c.y, c.x, CAST(CASE WHEN coalesce(c.x <= e.l OR c.x >= e.r OR c.y <= e.u OR c.y >= e.d, false) THEN 99
   WHEN hit.t IS NOT NULL THEN 1 ELSE 0 END AS INTEGER) AS zone
-FROM chip c LEFT JOIN hit ON hit.t = c.t AND hit.y = c.y AND hit.x = c.x LEFT JOIN f ON f.t = c.t""",
+FROM chip c LEFT JOIN hit ON hit.t = c.t AND hit.y = c.y AND hit.x = c.x LEFT JOIN e ON e.t = c.t""",
 )
 def shadow_project(spark, d):
     c = chips(spark, d)
-    angles = c.select("t").distinct().select("t", F.lit(0).alias("corner"), *[F.expr(e).cast("double").alias(n) for n, e in _ANGLES.items()])
+    corners = F.explode(F.array(*[F.lit(k).cast("long") for k in range(4)]))
+    angles = c.select("t").distinct().select("t", corners.alias("c")).select("t", F.col("c").alias("corner"), *[F.expr(e).cast("double").alias(n) for n, e in _ANGLES.items()])
     return raster.shadow_zone(c, angles, LONGEST, SHORTEST).select("t", "y", "x", "zone")
 
 

@@ -59,13 +59,14 @@ COVER_DEMO = {
 
 @query("cover_score", f"{WITH} SELECT y, x, t, sensor, " + ", ".join(f"round(CASE WHEN {_linear(m)} IS NOT NULL THEN least(greatest({_linear(m)}, 0), 1) END, 6) AS {out}" for out, m in COVER_DEMO.items()) + " FROM obs")
 def cover_score(spark, d):
-    return obs(spark, d).select("y", "x", "t", "sensor", *[F.round(c, 6).alias(n) for n, c in models.cover(COVER_DEMO).items()])
+    return models.with_cover(obs(spark, d), COVER_DEMO).select("y", "x", "t", "sensor", *[F.round(n, 6).alias(n) for n in models.COVER])
 
 
-@query("bootstrap_sample")
+@query("bootstrap_sample", "SELECT name, intercept FROM (SELECT CAST(p_partkey AS VARCHAR) AS name, CAST(p_retailprice AS DOUBLE) AS intercept FROM part) ORDER BY md5('7:' || name), name LIMIT 100")
 def bootstrap_sample(spark, d):
-    """Ten models drawn with a seed."""
-    return spark.createDataFrame([(m["name"], float(m["intercept"])) for m in models.sampled(BOOTSTRAP, 10, 7)], "name string, intercept double")
+    """A hundred models drawn with a seed; the parts stand for models."""
+    p = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").cast("string").alias("name"), F.col("p_retailprice").cast("double").alias("intercept"))
+    return models.sampled(p, 100, 7)
 
 
 # Haze lines: a date here is a year, so that bins fill.
@@ -100,39 +101,39 @@ def hot_line(spark, d):
     return got.select("t", F.round("slope", 6).alias("slope"), F.round("intercept", 4).alias("intercept"), "fitted")
 
 
-@query("hot_distance", f"{_LINE} SELECT h.t, h.b, h.r, round(abs(h.b * 1.5e0 - h.r + l.intercept) / sqrt(3.25e0), 4) AS hot FROM h JOIN l ON l.t = h.t WHERE l.fitted = 0")
+@query("hot_distance", f"{_LINE} SELECT h.t, h.b, h.r, round(abs(h.b * l.slope - h.r + l.intercept) / sqrt(l.slope * l.slope + 1e0), 4) AS hot FROM h LEFT JOIN l ON l.t = h.t")
 def hot_distance(spark, d):
     y = _years(spark, d)
-    line = haze.lines(y, "b", "r", "low", HIGH, BINS).where("fitted = 0").drop("fitted")
-    return haze.distances(y, line, "b", "r").where("hot is not null").select("t", "b", "r", F.round("hot", 4).alias("hot"))
+    line = haze.lines(y, "b", "r", "low", HIGH, BINS).drop("fitted")
+    return haze.distances(y, line, "b", "r").select("t", "b", "r", F.round("hot", 4).alias("hot"))
 
 
 @query(
     "lad_line_by_pixel",
-    f"""WITH ts AS ({DAILY}), p AS (SELECT pix, CAST(t_idx AS DOUBLE) AS x, v FROM ts WHERE v IS NOT NULL AND pix < 20),
+    f"""WITH ts AS ({DAILY}), p AS (SELECT pix, CAST(t_idx AS DOUBLE) AS x, v FROM ts WHERE v IS NOT NULL),
 c AS (SELECT a.pix, round((b.v - a.v) / (b.x - a.x), 9) AS slope, round(a.v - (b.v - a.v) / (b.x - a.x) * a.x, 6) AS intercept, (b.v - a.v) / (b.x - a.x) AS s, a.v - (b.v - a.v) / (b.x - a.x) * a.x AS i FROM p a JOIN p b ON a.pix = b.pix AND a.x < b.x),
 o AS (SELECT c.pix, slope, intercept, round(sum(abs(p.v - c.i - c.s * p.x)), 6) AS off FROM c JOIN p ON p.pix = c.pix GROUP BY c.pix, slope, intercept, s, i)
 SELECT pix, round(slope, 6) AS slope, round(intercept, 5) AS intercept FROM (SELECT *, row_number() OVER (PARTITION BY pix ORDER BY off, slope, intercept) AS k FROM o) WHERE k = 1""",
 )
 def lad_line(spark, d):
-    p = daily(spark, d).where("v is not null and pix < 20").withColumn("xx", F.col("t_idx").cast("double"))
+    p = daily(spark, d).where("v is not null").withColumn("xx", F.col("t_idx").cast("double"))
     return stats.median_line(p, "pix", "xx", "v").select("pix", F.round("slope", 6).alias("slope"), F.round("intercept", 5).alias("intercept"))
 
 
 _SAMPLE = f"""{WITH}, r AS (SELECT {N['BLUE']} AS v, row_number() OVER (ORDER BY y, x, t, sensor, BLUE, RED, NIR1, SWIR1) - 1 AS rn, count(*) OVER () AS n FROM obs WHERE {N['BLUE']} IS NOT NULL)"""
-_STEP = "greatest(n // 500, 1)"
+_STEP = "greatest(n // 5000, 1)"
 _ORDER = ["y", "x", "t", "sensor", "BLUE", "RED", "NIR1", "SWIR1"]
 
 
-@query("systematic_sample", f"{_SAMPLE} SELECT v, count(*) AS n FROM (SELECT v FROM r WHERE rn % {_STEP} = 0 AND rn // {_STEP} < 500) GROUP BY v")
+@query("systematic_sample", f"{_SAMPLE} SELECT v, count(*) AS n FROM (SELECT v FROM r WHERE rn % {_STEP} = 0 AND rn // {_STEP} < 5000) GROUP BY v")
 def systematic_sample(spark, d):
     o = obs(spark, d).withColumn("v", band("BLUE")).where("v is not null")
-    return stats.every_nth(o, _ORDER, 500).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    return stats.every_nth(o, _ORDER).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
     "kmeans_1d",
-    f"""{_SAMPLE}, s AS (SELECT v, row_number() OVER (ORDER BY v) AS i FROM (SELECT v FROM r WHERE rn % greatest(n // 300, 1) = 0 AND rn // greatest(n // 300, 1) < 300)),
+    f"""{_SAMPLE}, s AS (SELECT v, row_number() OVER (ORDER BY v) AS i FROM (SELECT v FROM r WHERE rn % {_STEP} = 0 AND rn // {_STEP} < 5000)),
 p AS (SELECT i, sum(v) OVER (ORDER BY i) AS s, sum(v * v) OVER (ORDER BY i) AS q, count(*) OVER () AS n, sum(v) OVER () AS st, sum(v * v) OVER () AS qt FROM s),
 c AS (SELECT a.s / a.i AS c0, (b.s - a.s) / (b.i - a.i) AS c1, (b.st - b.s) / (b.n - b.i) AS c2,
         a.q - a.s * a.s / a.i + (b.q - a.q) - (b.s - a.s) * (b.s - a.s) / (b.i - a.i) + (b.qt - b.q) - (b.st - b.s) * (b.st - b.s) / (b.n - b.i) AS cost
@@ -141,7 +142,7 @@ SELECT unnest([0, 1, 2]) AS k, round(unnest([c0, c1, c2]), 4) AS centre FROM (SE
 )
 def kmeans(spark, d):
     o = obs(spark, d).withColumn("v", band("BLUE")).where("v is not null")
-    found = stats.kmeans3(stats.every_nth(o, _ORDER, 300), "v")
+    found = stats.kmeans3(stats.every_nth(o, _ORDER), "v")
     return spark.createDataFrame([(k, round(c, 4)) for k, c in enumerate(found or [])], "k int, centre double")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from furrow.functions import qa, scalars
 from furrow.functions.bands import ASSETS, BANDS, NEEDED, band
-from furrow.functions.indices import CENTRES, INDICES, TASSELLED
+from furrow.functions.indices import CENTRES, INDICES, TASSELLED, with_features
 from furrow.operators import cube
 from furrow.plans.registry import query
 from furrow.plans.views import OBS, obs
@@ -87,7 +87,8 @@ for _n in BANDS:
 
 @query("indices_all", f"{WITH} SELECT y, x, t, sensor, " + ", ".join(f"round({e}, {PLACES[n]}) AS {n}" for n, e in INDEX_SQL.items()) + " FROM obs")
 def indices_all(spark, d):
-    return obs(spark, d).select("y", "x", "t", "sensor", *[F.round(f(), PLACES[n]).alias(n) for n, f in INDICES.items()])
+    o = with_features(obs(spark, d), list(INDICES))
+    return o.select("y", "x", "t", "sensor", *[F.round(n, PLACES[n]).alias(n) for n in INDICES])
 
 
 def _bit(b: int) -> str:

@@ -66,8 +66,8 @@ def catalog_dates(spark, d):
 
 @query(
     "day_spine",
-    f"WITH obs AS ({OBS}), b AS (SELECT min(t) AS a, max(t) AS z FROM obs WHERE y < 3 AND x < 3), days AS (SELECT CAST(unnest(generate_series(a, z, INTERVAL 1 DAY)) AS DATE) AS t, a FROM b), p AS (SELECT DISTINCT y, x FROM obs WHERE y < 3 AND x < 3), "
+    f"WITH obs AS ({OBS}), b AS (SELECT min(t) AS a, max(t) AS z FROM obs), days AS (SELECT CAST(unnest(generate_series(a, z, INTERVAL 1 DAY)) AS DATE) AS t, a FROM b), p AS (SELECT DISTINCT y, x FROM obs), "
     "g AS (SELECT y, x, t, max(RED) AS RED FROM obs GROUP BY y, x, t) SELECT p.y, p.x, days.t, CAST(days.t - CAST(days.a AS DATE) AS INTEGER) AS t_idx, g.RED FROM p CROSS JOIN days LEFT JOIN g ON g.y = p.y AND g.x = p.x AND g.t = days.t",
 )
 def day_spine(spark, d):
-    return cube.with_days(obs(spark, d).where("y < 3 and x < 3"), "RED").select("y", "x", "t", "t_idx", "RED")
+    return cube.with_days(obs(spark, d), "RED").select("y", "x", "t", "t_idx", "RED")

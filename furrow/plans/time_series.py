@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from furrow.operators import folds, phenology, series, smoothing
@@ -154,20 +156,22 @@ def bolton_mask(spark, d):
     return folds.over_arrays(_five(spark, d), ["v"], both)
 
 
-@query(
-    "despike_sequential",
-    f"""{RECURSIVE}, o AS (SELECT pix, t_idx, v, row_number() OVER {W}) AS k FROM ts WHERE v IS NOT NULL),
+_SWEEP = f"""o AS (SELECT pix, t_idx, v, row_number() OVER {W}) AS k FROM ts WHERE v IS NOT NULL),
 p AS (SELECT *, lead(v) OVER {W}) AS nv, lead(t_idx) OVER {W}) AS nt FROM o), r AS (
   SELECT pix, k, t_idx, v, 0 AS flag, t_idx AS t1, v AS v1 FROM p WHERE k = 1
   UNION ALL
   SELECT pix, k, t_idx, v, flag, CASE WHEN flag = 1 THEN t1 ELSE t_idx END, CASE WHEN flag = 1 THEN v1 ELSE v END
   FROM (SELECT p.pix, p.k, p.t_idx, p.v, r.t1, r.v1, CASE WHEN p.nt IS NOT NULL AND p.nv <> r.v1 AND p.nt - r.t1 < {DAYS} AND abs(r.v1 + (p.nv - r.v1) * (p.t_idx - r.t1) / (p.nt - r.t1) - p.v) > {DEPTH}
           AND abs((r.v1 + (p.nv - r.v1) * (p.t_idx - r.t1) / (p.nt - r.t1) - p.v) / (p.nv - r.v1)) > 2 THEN 1 ELSE 0 END AS flag
-        FROM r JOIN p ON p.pix = r.pix AND p.k = r.k + 1))
-SELECT ts.pix, ts.t_idx, CASE WHEN r.flag = 0 THEN ts.v END AS v FROM ts LEFT JOIN r ON r.pix = ts.pix AND r.t_idx = ts.t_idx""",
-)
+        FROM r JOIN p ON p.pix = r.pix AND p.k = r.k + 1))"""
+#: The second sweep, over what the first has left.
+_AGAIN = re.sub(r"\b([opr])\b(?= AS \(|\)|\.| JOIN|\n)", r"\g<1>2", _SWEEP).replace("FROM ts WHERE v IS NOT NULL", "FROM r WHERE flag = 0").replace("JOIN p ON", "JOIN p2 ON").replace("FROM r JOIN", "FROM r2 JOIN")
+
+
+@query("despike_sequential", f"{RECURSIVE}, {_SWEEP}, {_AGAIN} SELECT ts.pix, ts.t_idx, CASE WHEN r2.flag = 0 THEN ts.v END AS v FROM ts LEFT JOIN r2 ON r2.pix = ts.pix AND r2.t_idx = ts.t_idx")
 def despike_sequential(spark, d):
-    return folds.over_arrays(daily(spark, d), ["v"], lambda v: folds.despiked(v, DEPTH, DAYS, 1), "double", out="v")
+    """Two sweeps, as by default."""
+    return folds.over_arrays(daily(spark, d), ["v"], lambda v: folds.despiked(v, DEPTH, DAYS), "double", out="v")
 
 
 _TAPS = smoothing.weights(7, 2)[3]
@@ -186,12 +190,22 @@ def _season_filled(spark, d):
     return series.filled(season(spark, d), None)
 
 
-@query("savgol_uniform", f"{_FILLED}, s AS (SELECT pix, t_idx, count(*) OVER (PARTITION BY pix) AS n, round({_SG}, 6) AS smooth FROM f WINDOW w AS {W})) SELECT pix, t_idx, smooth FROM s WHERE t_idx BETWEEN 3 AND n - 4")
+def _end(row: int, first: str) -> str:
+    """SQL: the value that weights of the end window give, which begins at place ``first`` of the list."""
+    return " + ".join(f"{float(c)!r} * l[{first} + {k}]" for k, c in enumerate(smoothing.weights(7, 2)[row])).replace("e-", "E-")
+
+
+_ENDS = " ".join([f"WHEN t_idx = {i} THEN {_end(i, '1')}" for i in range(3)] + [f"WHEN t_idx = n - {3 - i} THEN {_end(4 + i, 'n - 6')}" for i in range(3)])
+
+
+@query(
+    "savgol_uniform",
+    f"""{_FILLED}, s AS (SELECT pix, t_idx, {_SG} AS inner_v FROM f WINDOW w AS {W})), e AS (SELECT pix, list(v ORDER BY t_idx) AS l, count(*) AS n FROM f GROUP BY pix)
+SELECT s.pix, s.t_idx, round(CASE WHEN n < 7 THEN NULL {_ENDS} ELSE inner_v END, 6) AS smooth FROM s JOIN e ON e.pix = s.pix""",
+)
 def savgol_uniform(spark, d):
-    """The matrix form on filled series; the query leaves out the ends, which SQL doesn't have."""
-    s = smoothing.smoothed(_season_filled(spark, d), "uniform", window=7, degree=2)
-    n = _season_filled(spark, d).groupBy("pix").agg(F.count(F.lit(1)).alias("n"))
-    return s.join(n, "pix").where((F.col("t_idx") >= 3) & (F.col("t_idx") <= F.col("n") - 4)).select("pix", "t_idx", F.round("smooth", 6).alias("smooth"))
+    """The matrix form on filled series, ends and all."""
+    return smoothing.smoothed(_season_filled(spark, d), "uniform", window=7, degree=2).select("pix", "t_idx", F.round("smooth", 6).alias("smooth"))
 
 
 @query("savgol_irregular")

@@ -11,6 +11,8 @@ BASE = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # The JVM doesn't compile methods of more than 8,000 bytes: such a stage is better generated operator by operator.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

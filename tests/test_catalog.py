@@ -66,7 +66,9 @@ def test_models_are_data(spark, tmp_path):
     models.save(spark, [views.BIOMASS, *views.BOOTSTRAP], str(tmp_path / "m"))
     got = models.load(spark, str(tmp_path / "m"))
     assert len(got) == 21 and models.get(got, "biomass_demo") == views.BIOMASS
-    assert models.sampled(got, 5, 3) == models.sampled(list(reversed(got)), 5, 3)
+    table = spark.createDataFrame([(m["name"],) for m in got], "name string")
+    drawn = models.sampled(table, 5, 3).collect()
+    assert drawn == models.sampled(table.repartition(3), 5, 3).collect() and len(set(drawn)) == min(5, len(got))
     with pytest.raises(KeyError):
         models.get(got, "none")
     with pytest.raises(ValueError):
