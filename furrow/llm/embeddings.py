@@ -3,17 +3,20 @@
 Vectors that are equal in every component are one node with a count. A neighbour graph starts from cells of random
 hyperplanes and is refined by NN-descent: every node introduces its neighbours and those that list it to
 each other, and each keeps its best. Lists of ``K`` neighbours that are full of links are doubled for the next round, up to
-``K_MOST``. Rounds end when few lists change. Candidate edges are checked in double precision and those of at least
+``K_MOST``; a full list keeps its ``K`` weakest links, too, as it is these that join one dense group to another, and they introduce
+like others. Cells and circles are compared whole, in overlapping windows of ``BLOCK`` where they are larger. Rounds end when few lists change. Candidate
+edges are checked in double precision and those of at least
 ``THRESHOLD`` are links. The recall is audited: up to ``AUDIT`` vectors, chosen by hash, are compared with all
-others in blocks; links so found join the graph, and while the graph misses more than one in a hundred of them it is
-refined again from new hyperplanes (``TRIES`` times at most).
+others in blocks; while the graph misses more than one in a hundred of their links it is refined again from new hyperplanes, and
+links of all refinements count. After ``TRIES`` of them a recall below ``LEAST`` is an error, so no result has less; the figure is the
+attribute ``recall`` of the result. Links that the audit itself has found join the graph in the end.
 
 All links of a vector lie in its component. So the number of links is counted there, members against members in blocks of ``BLOCK``,
 however many there are, and only counts leave a block: lists are bounded, counts aren't.
 
 Vectors that are null, empty, zero or hold null or non-finite components, and rows without vec_id, link with
 nothing: n_links 0, a component of their own (null for a null vec_id), kept. Vectors of different lengths never
-meet. Repeated rows link with each other. Other columns, labels among them, are ignored.
+meet. Repeated rows link with each other. An empty table gives no rows. Other columns, labels among them, are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from furrow.llm.common import components, dropped, emit, groups, partitions, rel
 THRESHOLD, K, K_MOST, ROUNDS = 0.9, 8, 32, 3
 #: Hyperplane tables, rows of a cell, rows compared at once.
 TABLES, CELL, BLOCK = 8, 128, 512
-AUDIT, RECALL, TRIES = 256, 0.99, 3
+AUDIT, RECALL, LEAST, TRIES = 256, 0.99, 0.9, 6
 #: Approximate similarities may be this far off.
 SLACK = 0.01
 
@@ -86,11 +89,31 @@ def _cells(bits: int, seed: int):
     return cells
 
 
+def _whole(batches: Iterator[pa.RecordBatch], keys: list[str], most: int) -> Iterator[pa.Table]:
+    """Some rows at a time of a partition sorted by ``keys``, never less than all of a key; of keys with more than ``most`` rows windows of
+    as many, each with half of the one before."""
+    held: pa.Table | None = None
+    for b in sliced(batches, most):
+        t = pa.Table.from_batches([b])
+        held = (t if held is None else pa.concat_tables([held, t])).combine_chunks()
+        cols = [held[k].to_numpy() for k in keys]
+        last = np.logical_and.reduce([c == c[-1] for c in cols])
+        start = int(held.num_rows - np.argmin(last[::-1])) if not last.all() else 0
+        if start:
+            yield held.slice(0, start)
+            held = held.slice(start)
+        while held.num_rows > most:
+            yield held.slice(0, most)
+            held = held.slice(most // 2)
+    if held is not None and held.num_rows:
+        yield held
+
+
 def _meet(own: str, many: bool):
-    """Members of one cell or circle (the column ``own``), some at a time, and the best others of each."""
+    """Members of one cell or circle (the column ``own``) and the best others of each."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches, BLOCK):
+        for b in _whole(batches, ["dim", own], BLOCK):
             dims = b.column("dim").to_numpy()
             for dim in np.unique(dims).tolist():
                 part = b.filter(pa.array(dims == dim)) if (dims != dim).any() else b
@@ -122,12 +145,14 @@ EDGE = "node long, near long, sim double"
 
 
 def _lists(edges: DataFrame, wide: DataFrame | None = None) -> DataFrame:
-    """(node, k, list of (sim, near), kth) with each node's k best edges."""
+    """(node, k, list of (sim, near), kth) with each node's k best edges and, beyond them, its K weakest links."""
     best = edges.groupBy("node").agg(F.collect_set(F.struct("sim", "near")).alias("list"))
     best = best.join(wide, "node", "left").withColumn("k", F.coalesce("k", F.lit(K))) if wide is not None else best.withColumn("k", F.lit(K))
-    best = best.withColumn("list", F.slice(F.sort_array("list", asc=False), 1, F.col("k")))
+    best = best.withColumn("list", F.sort_array("list", asc=False))
     full = F.size("list") >= F.col("k")
-    return best.withColumn("kth", F.when(full, F.element_at("list", -1)["sim"]).otherwise(F.lit(-1.0)))
+    best = best.withColumn("kth", F.when(full, F.get("list", F.col("k").cast("int") - 1)["sim"]).otherwise(F.lit(-1.0)))
+    rest = F.filter(F.slice("list", F.col("k").cast("int") + 1, F.size("list")), lambda e: e["sim"] >= THRESHOLD - SLACK)
+    return best.withColumn("list", F.concat(F.slice("list", 1, F.col("k")), F.slice(F.reverse(rest), 1, K)))
 
 
 def graph(nodes: DataFrame, count: int, seed: int, before: DataFrame | None = None) -> DataFrame:
@@ -232,7 +257,7 @@ def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", column: str =
     sample = nodes.where(F.pmod(F.xxhash64("vector"), F.lit(every)) == 0).orderBy(F.xxhash64("vector"), "node").limit(2 * AUDIT)
     queries = [(r.node, r.dim, r.vector) for r in sample.select("node", "dim", "vector").collect()]
     truth = written(nodes.select("node", "dim", "vector").mapInArrow(_auditor(queries), "a long, b long"), "audit")
-    links = None
+    links, recall = None, 0.0
     for seed in range(TRIES):
         edges = graph(nodes, count, seed)
         found = checked(edges, nodes)
@@ -242,9 +267,12 @@ def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", column: str =
         a = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         b = roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
         got = truth.join(a, "a", "left").join(b, "b", "left").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("ra") == F.col("rb")).cast("long")).alias("hit")).first()
-        if not got["n"] or (got["hit"] or 0) >= RECALL * got["n"]:
+        recall = (got["hit"] or 0) / got["n"] if got["n"] else 1.0
+        if recall >= RECALL:
             break
-    if got["n"] and (got["hit"] or 0) < got["n"]:
+    if recall < LEAST:
+        raise RuntimeError(f"only {recall:.3f} of the audited links were found")
+    if recall < 1:
         roots = written(components(found.unionByName(truth)), "roots")
     members = nodes.join(roots, "node").select("root", "node", "vector", "copies")
     counts = link_counts(members, BLOCK)
@@ -254,7 +282,9 @@ def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", column: str =
     out = able.join(own, "vector").select("vec_id", "n_links", "component_id")
     rest = rows.where("vec_id is null or vector is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = out.unionByName(rest)
-    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    out = out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    out.recall = recall
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,6 +52,37 @@ def test_links_equal_brute_force(spark, monkeypatch):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_recall_is_told_and_enforced(spark, monkeypatch):
+    import pytest
+
+    x = vectors(8)
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    assert embeddings.near_duplicates(df).recall >= embeddings.RECALL
+    monkeypatch.setattr(embeddings, "TRIES", 1)
+    monkeypatch.setattr(embeddings, "checked", lambda edges, nodes: edges.limit(0).selectExpr("node AS a", "near AS b"))
+    with pytest.raises(RuntimeError, match="audited"):
+        embeddings.near_duplicates(df)
+
+
+def test_windows_hold_whole_groups():
+    import pyarrow as pa
+
+    sizes = [3, 1, 40, 7, 100, 2, 16, 16]
+    key = np.repeat(np.arange(len(sizes)), sizes)
+    table = pa.table({"k": key, "i": np.arange(len(key))})
+    for step in (1, 5, 16, 200):
+        together = set()
+        for t in embeddings._whole(iter(table.to_batches(max_chunksize=step)), ["k"], 16):
+            for k in set(t["k"].to_pylist()):
+                own = [i for i, o in zip(t["i"].to_pylist(), t["k"].to_pylist(), strict=True) if o == k]
+                assert len(own) <= 32
+                together |= {(a, b) for a in own for b in own}
+        for k, n in enumerate(sizes):
+            i = np.flatnonzero(key == k)
+            near = 16 if n <= 16 else 8
+            assert all((a, b) in together for a in i.tolist() for b in i.tolist() if abs(a - b) < near)
+
+
 def test_top_k_equals_brute_force(spark):
     x = vectors(6)
     rows = odd([(i, [float(c) for c in v], 1) for i, v in enumerate(x)]) + [(20, [float(c) for c in x[20]], 1), (77, [float(c) for c in x[77]], 1)]
