@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,7 +67,7 @@ class Encoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.end = np.array([end], np.uint32).tobytes()
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[bytes, bytes] = {b"": b""}
         self.held = 0
         self.marks: dict[bytes, bytes] = {}
 
@@ -104,20 +105,36 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts with the end ids, and how many each text has."""
-        words = [(t if b"<|" in t else t.lower()).split() for t in (x.encode() for x in texts)]
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        column = pa.array(texts, pa.large_string())
+        lowered = pc.if_else(pc.match_substring(column, "<|"), column, pc.ascii_lower(column))
+        words = pc.ascii_split_whitespace(lowered)
+        n_words = pc.list_value_length(words).to_numpy()
+        found = words.flatten().dictionary_encode()
+        distinct = found.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
         known, fresh = self.known, {}
-        parts = [list(map(known.get, x)) for x in words]
-        new = list({w for x, p in zip(words, parts, strict=True) if None in p for w, ids in zip(x, p, strict=True) if ids is None})
-        for i in range(0, len(new), 10_000):
-            fresh |= self._new(new[i : i + 10_000], fresh)
-        parts = [b"".join(p if None not in p else [ids if ids is not None else fresh[w] for w, ids in zip(x, p, strict=True)]) + self.end for x, p in zip(words, parts, strict=True)]
+        ids = list(map(known.get, distinct))
+        if None in ids:
+            new = [w for w, x in zip(distinct, ids, strict=True) if x is None]
+            for i in range(0, len(new), 10_000):
+                fresh |= self._new(new[i : i + 10_000], fresh)
+            ids = [fresh[w] if x is None else x for w, x in zip(distinct, ids, strict=True)]
         size = sum(map(len, fresh)) + sum(map(len, fresh.values())) + OVERHEAD * len(fresh)
         if self.held + size <= KEPT:
             known |= fresh
             self.held += size
         if len(self.marks) > 100_000:
             self.marks.clear()
-        return np.frombuffer(b"".join(parts), np.uint32), np.array([len(g) // 4 for g in parts], np.int64)
+        # The end id is one more word, behind every text's last.
+        ids.append(self.end)
+        codes = np.insert(found.indices.to_numpy(), np.cumsum(n_words), len(distinct))
+        lens = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        place = np.cumsum(lens) - lens
+        size = lens[codes]
+        ends = np.cumsum(size)
+        every = np.frombuffer(b"".join(ids), np.uint32)[np.arange(ends[-1]) + np.repeat(place[codes] - ends + size, size)]
+        return every, np.diff(ends[np.cumsum(n_words + 1) - 1], prepend=0)
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -151,7 +168,7 @@ def repair(ids: np.ndarray, starts: np.ndarray, least: int = LEAST) -> tuple[np.
     while len(at):
         to = after[at]
         key = seq[at] << 32 | seq[to]
-        code, found = pd.factorize(key)
+        code, found = pd.factorize(key, size_hint=len(key))
         free = np.ones(len(at), bool)
         twin = np.flatnonzero((key >> 32) == (key & 0xFFFFFFFF))
         if len(twin):
@@ -162,19 +179,19 @@ def repair(ids: np.ndarray, starts: np.ndarray, least: int = LEAST) -> tuple[np.
             free[twin[odd == 1]] = False
         count = np.bincount(code[free], minlength=len(found))
         often = count >= least
-        power = np.where(often, count * np.int64(len(found)) + random.permutation(len(found)), 0)[code]
+        power = np.where(often, count << 32 | random.integers(1 << 32, size=len(found)), 0)[code]
         power[~free] = 0
         strength[at] = power
-        win = (power > strength[before[at]]) & (power > strength[to])
+        win = np.flatnonzero((power > strength[before[at]]) & (power > strength[to]))
         strength[at] = 0
         worth = np.bincount(code[win], minlength=len(found)) >= least
-        win &= worth[code]
+        win = win[worth[code[win]]]
         place, gone = at[win], to[win]
         if not len(place):
             break
         pair = found[worth]
         rules.append(np.stack([pair >> 32, pair & 0xFFFFFFFF], 1))
-        seq[place] = base + made + (np.cumsum(worth) - 1)[code[win]]
+        seq[place] = (base + made - 1 + np.cumsum(worth))[code[win]]
         made += len(pair)
         alive[gone] = False
         rest = after[gone]
