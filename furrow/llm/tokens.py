@@ -8,7 +8,7 @@ shard file holds its rules, the length that each rule expands to, the final
 sequence, and for each document where its part of the sequence begins: no rule crosses a document's end, so any
 document is decoded on its own, and any id in it is found by expansion lengths.
 
-Files are the rows of a Parquet table (part, shard, first row, payload), so they live in any store that Spark
+Files are the rows of a Parquet table (part, shard, ids of the part ahead of it, payload), so they live in any store that Spark
 writes to. Memory is bounded by a shard or, if longer, one document, and ``KEPT`` bytes of known words. Texts are split at ASCII white space,
 which the tokenizer drops and never joins over, and each distinct word is encoded once in a task. Rows of one id, or none, follow each
 other by the hash of their text, so they need not be in one task; repeated rows are written as often as they occur. An empty table has no
@@ -35,6 +35,8 @@ from furrow.llm.common import documents, emit, partitions, small_batches, writte
 TOKENIZER = "word_bpe_49k.json"
 END = 2
 SHARD, LEAST = 500_000, 2
+#: Bytes of text that are encoded together, unless one text has more.
+BYTES = 8_000_000
 #: Bytes of words and their ids that a process keeps, about; each has some OVERHEAD more.
 KEPT, OVERHEAD = 300_000_000, 200
 _MAGIC = b"FRP2"
@@ -309,13 +311,24 @@ class Shard:
         return self.expand(self.seq), np.add.reduceat(self.size[self.seq].astype(np.int64), self.begin) if len(self.begin) else np.zeros(0, np.int64)
 
 
+def by_bytes(batches: Iterator[pa.RecordBatch], most: int = BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices whose texts have at most ``most`` bytes together, or one row."""
+    for b in batches:
+        size = pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends, at = np.cumsum(size), 0
+        while at < b.num_rows:
+            upto = max(at + 1, int(np.searchsorted(ends, ends[at] - size[at] + most, side="right")))
+            yield b.slice(at, upto - at)
+            at = upto
+
+
 def _writer(path: str, shard: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
         ids: list[np.ndarray] = []
         counts: list[np.ndarray] = []
         docs: list[pa.Array] = []
-        part, held, nth = -1, 0, 0
+        part, held, nth, ahead = -1, 0, 0, 0
 
         def flush() -> pa.RecordBatch:
             every, n = np.concatenate(ids), np.concatenate(counts)
@@ -324,24 +337,30 @@ def _writer(path: str, shard: int):
                 {
                     "part": pa.array([part], pa.int32()),
                     "shard": pa.array([nth], pa.int32()),
+                    "ahead": pa.array([ahead], pa.int64()),
                     "n_ids": pa.array([len(every)], pa.int64()),
                     "doc_ids": pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names),
                     "payload": pa.array([shard_bytes(every, n)], pa.binary()),
                 }
             )
 
-        for b in batches:
-            for i in range(0, b.num_rows, 256):
-                x = b.slice(i, 256)
-                part = x.column("part")[0].as_py()
-                got, n = coder.encode([t or "" for t in x.column("text").to_pylist()])
-                ids.append(got)
-                counts.append(n)
-                docs.append(x.column("doc_id"))
-                held += len(got)
+        for x in by_bytes(batches):
+            part = x.column("part")[0].as_py()
+            got, n = coder.encode([t or "" for t in x.column("text").to_pylist()])
+            ends = np.cumsum(n)
+            done = 0
+            while done < len(n):
+                # Documents up to the one that fills the shard.
+                before = int(ends[done] - n[done])
+                upto = min(int(np.searchsorted(ends, before + shard - held)) + 1, len(n))
+                last = int(ends[upto - 1])
+                ids.append(got[before:last])
+                counts.append(n[done:upto])
+                docs.append(x.column("doc_id").slice(done, upto - done))
+                held, done = held + last - before, upto
                 if held >= shard:
                     yield flush()
-                    ids, counts, docs, held, nth = [], [], [], 0, nth + 1
+                    ids, counts, docs, held, nth, ahead = [], [], [], 0, nth + 1, ahead + held
         if held:
             yield flush()
 
@@ -355,7 +374,7 @@ def write_shards(docs: DataFrame, tokenizer: str, shard: int = SHARD) -> DataFra
     n = partitions(docs.sparkSession)
     rows = rows.withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
     dealt = rows.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h").withColumn("part", F.spark_partition_id())
-    files = dealt.select("doc_id", "text", "part").mapInArrow(_writer(tokenizer, shard), "part int, shard int, n_ids long, doc_ids array<long>, payload binary")
+    files = dealt.select("doc_id", "text", "part").mapInArrow(_writer(tokenizer, shard), "part int, shard int, ahead long, n_ids long, doc_ids array<long>, payload binary")
     return written(files, "shards")
 
 
@@ -383,12 +402,11 @@ def read_shards(files: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document in the files, decoded from them."""
     from pyspark.sql import Window
 
-    # One window over parts, of which there are as many as shuffle partitions; one over the files of each.
+    # A file knows the ids of its part before it; one window over parts, of which there are as many as shuffle
+    # partitions, has those of the parts before, and is small enough to broadcast. So no file is shuffled.
     w = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    parts = files.groupBy("part").agg(F.sum("n_ids").alias("of_part")).select("part", (F.sum("of_part").over(w) - F.col("of_part")).alias("ahead"))
-    w = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    base = files.select("part", "shard", "n_ids").withColumn("upto", F.sum("n_ids").over(w) - F.col("n_ids")).join(F.broadcast(parts), "part")
-    rows = files.drop("n_ids").join(base.select("part", "shard", (F.col("ahead") + F.col("upto")).alias("base")), ["part", "shard"])
+    parts = files.groupBy("part").agg(F.sum("n_ids").alias("of_part")).select("part", (F.sum("of_part").over(w) - F.col("of_part")).alias("base"))
+    rows = files.join(F.broadcast(parts), "part").withColumn("base", F.col("base") + F.col("ahead"))
     return rows.select("doc_ids", "payload", "base").mapInArrow(_reader, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import xxhash
@@ -103,3 +104,12 @@ def test_files_hold_all_documents_in_order(spark):
         at += len(ids)
     assert got == want
     assert tokens.read_shards(tokens.write_shards(docs.limit(0), PATH)).count() == 0
+
+
+def test_slices_by_bytes_hold_every_row_in_order():
+    texts = [None, "", "aaaa", "é" * 5, "b" * 100, "c", None, "dd"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+    parts = [p.column("text").to_pylist() for p in tokens.by_bytes(iter([batch, batch.slice(0, 0)]), 14)]
+    assert sum(parts, []) == texts
+    assert all(len(p) == 1 or sum(len((t or "").encode()) for t in p) <= 14 for p in parts)
+    assert parts[0] == [None, "", "aaaa", "é" * 5]
