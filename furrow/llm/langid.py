@@ -37,14 +37,22 @@ LANGUAGES = 512
 #: Characters of a text of usual length.
 SHORT, LONG = 200, 8192
 UNKNOWN = "und"
-#: Numerals that aren't digits: they count as word characters, but aren't letters.
-_NUMERALS = "".join(c for c in map(chr, range(128, 0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_OTHER = re.compile(rf"[\W\d_{_NUMERALS}]+")
+#: What isn't letters, except numerals that aren't digits: they count as word characters.
+_OTHER = re.compile(r"[\W\d_]+")
 
 
 def letters(text: str) -> bytes:
     """The lower-case words of a text, a space on each side."""
-    return f" {_OTHER.sub(' ', text.lower())} ".encode()
+    text = text.lower()
+    words = _OTHER.split(text)
+    rest = "".join(words)
+    if not rest.isalpha():
+        # Only numerals that the text has: in the pattern, those beyond 16 bits would be held against each letter one by one.
+        for c in set(rest):
+            if not c.isalpha():
+                text = text.replace(c, " ")
+        words = _OTHER.split(text)
+    return f" {' '.join(words)} ".encode()
 
 
 def held_out() -> Column:

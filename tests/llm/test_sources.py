@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from furrow.llm import langid, mixing, packing
 
@@ -213,3 +214,26 @@ def test_rows_without_ids_are_spread(spark):
     slices = mixing.sized(docs).selectExpr("substring(h, 1, 3) AS s").groupBy("s").count().orderBy("count", ascending=False).head(2)
     assert slices[1]["count"] < 20
     assert sum(x.taken for x in mixing.mixed(docs).collect()) <= sum(size(t) for _, t, _ in rows)
+
+
+def test_letters_cost_about_a_plain_pattern():
+    """Words are runs of letters, of all characters; numerals that the pattern has no class for don't slow it down."""
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for text in ("".join(chars), "".join(f"a{c}B " for c in chars if c.isalnum()), "", "½", "x²𐄇y", "_é1"):
+        low = text.lower()
+        spaced = "".join(c if c.isalpha() else " " for c in low)
+        assert langid.letters(text) == f" {re.sub(' +', ' ', spaced)} ".encode()
+    plain = re.compile(r"[\W\d_]+")
+
+    def least(f, text):
+        took = []
+        for _ in range(5):
+            start = time.process_time()
+            f(text)
+            took.append(time.process_time() - start)
+        return min(took)
+
+    text = "ein schöner Text, 12 mots écrits avec soin; " * 5000
+    usual = least(lambda t: plain.sub(" ", t.lower()).encode(), text)
+    assert least(langid.letters, text) < 6 * usual
+    assert least(langid.letters, "𐄇" + text + "½ Ⅷ") < 6 * usual
